@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from earshot.plans import scores, signals, work
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = scores.QUERIES | signals.QUERIES | work.QUERIES
+SQL = scores.SQL | signals.SQL | work.SQL
