@@ -38,6 +38,14 @@ SHARD_ROWS = 500_000
 CACHE_WORDS = 400_000
 
 
+#: Chunks with code points from here on go to the tokeniser as they are: libraries differ in which of those are letters.
+BEYOND = "\u0530"
+
+
+def _encoded(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class _Words(dict):
     """Word of the pre-tokeniser -> bytes of its ids."""
 
@@ -60,16 +68,19 @@ class _Words(dict):
 class _Chunks(dict):
     """Text between white space -> bytes of its ids."""
 
-    def __init__(self, words: _Words, most: int):
+    def __init__(self, tokenizer, words: _Words, most: int):
         import regex
 
         super().__init__()
-        self.words, self.most = words, most
+        self.tokenizer, self.words, self.most = tokenizer, words, most
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
-        lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids = b"".join(map(self.words.__getitem__, self.find(lower)))
+        if max(chunk) < BEYOND:
+            lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            ids = b"".join(map(self.words.__getitem__, self.find(lower)))
+        else:
+            ids = _encoded(self.tokenizer, chunk)
         if len(self) >= self.most:
             self.clear()
         self[chunk] = ids
@@ -91,12 +102,12 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks = _Chunks(_Words(self.tokenizer, cache_words), cache_words)
+        self.chunks = _Chunks(self.tokenizer, _Words(self.tokenizer, cache_words), cache_words)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _encoded(self.tokenizer, text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
