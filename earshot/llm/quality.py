@@ -22,7 +22,7 @@ from earshot.llm.labelled import labelled_sample
 
 BITS, DIM, GRAMS = 18, 16, (3, 4)
 #: Bound of the sample: texts of each label.
-PER_CLASS = 2000
+PER_CLASS = 1200
 EPOCHS, RATE = 4, 0.4
 #: A small sample is gone through more often, up to about so many steps.
 LEAST_STEPS = 8000
