@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from earshot.functions import arrays as A
 from earshot.functions.audiogram import FREQUENCIES, NALR_FREQUENCIES, audiogram, nalr_gains, resampled
+from earshot.kernels.dynamics import compressed
+from earshot.kernels.prescription import amplified
 from earshot.operators import framing
 from earshot.plans.common import q6, r6, table
 
@@ -217,10 +219,25 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WINDOWS = f"SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, {q6('sqrt(avg(value * value))')} AS rms FROM events GROUP BY 1, 2"
 
+def compressor_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as signals through the compressor; its recurrence has no form in SQL."""
+    rows = _signals(spark, sf_dir).select("vec_id", A.scaled(F.col("x"), F.lit(4.0)).alias("x"))
+    out = compressed(rows, rate=1000, attack=5, release=20, threshold=0.35, attenuation=0.1)
+    return out.select("vec_id", r6(A.rms(F.col("compressed"))).alias("rms"), r6(F.col("gain")).alias("gain"))
+
+
+def hearing_aid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAL-R fit, filter, then compressor and full scale, as a baseline hearing aid does it."""
+    levels = F.transform(F.slice("x", 1, 6), lambda v: F.abs(v) * 400)
+    rows = _signals(spark, sf_dir).select("vec_id", "x", nalr_gains(levels).alias("gains"))
+    out = compressed(amplified(rows, rate=16000), rate=16000, signal_col="amplified")
+    return out.select("vec_id", r6(A.rms(F.col("amplified"))).alias("amplified_rms"), A.clip_count(F.col("compressed")).alias("clipped"), r6(A.rms(A.soft_clip(F.col("compressed")))).alias("rms"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (array_rms, clip_count, soft_clip, pcm16, si_snr_pairs, cosine_pairs, snr_scale_mix, stem_mix, stem_gain, standardised, peak_index, audiogram_resample, nalr_gain)
-    + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, event_windows)
+    + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, event_windows, compressor_gain, hearing_aid)
 }
 SQL = {
     "array_rms": ARRAY_RMS,
