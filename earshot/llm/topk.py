@@ -141,7 +141,7 @@ def _block(spark: SparkSession, candidates: DataFrame, ids: np.ndarray, matrix:
             break
         # a query whose bins are single values already is counted again with the rest, to the same end
         more = width > 1
-        low, high, above = np.where(more, found, low), np.where(more, found + width, high), np.where(more, before, above)
+        low, high, above = np.where(more, found, low), np.where(more, np.minimum(found + width, high), high), np.where(more, before, above)
         width = np.where(more, np.maximum(1, -(-width // bins)), 1)
     kth = np.where(enough, low, np.iinfo(np.int64).min // 4)
     last = spark.sparkContext.broadcast(kth)
