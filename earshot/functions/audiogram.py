@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,3 +74,33 @@ def nalr_gains(levels: Column) -> Column:
     bias = F.array(*[F.lit(b) for b in NALR_BIAS])
     gains = F.zip_with(levels, bias, lambda level, b: F.greatest(base + 0.31 * level + b, F.lit(0.0)))
     return F.when(F.array_max(levels) > 0, gains).otherwise(F.transform(levels, lambda _: F.lit(0.0)))
+
+
+# CAMFIT, linear. Intercepts in dB at their frequencies, the slope, and the centre frequencies of the nine bands.
+CAMFIT_FREQUENCIES = (125, 250, 500, 750, 1000, 1500, 2000, 3000, 4000, 5000, 5005)
+CAMFIT_INTERCEPTS = (-11, -10, -8, -6, 0, -1, 1, -1, 0, 1, 1)
+CAMFIT_SLOPE = 0.48
+CAMFIT_BANDS = (177, 297, 500, 841, 1414, 2378, 4000, 6727, 11314)
+
+
+def camfit_intercepts(bands: Sequence[float] = CAMFIT_BANDS) -> list[float]:
+    """Intercepts at the bands, linear over log frequency, the end values beyond the ends."""
+    return np.interp(np.log(bands), np.log(CAMFIT_FREQUENCIES), CAMFIT_INTERCEPTS).tolist()
+
+
+def camfit_gains(gram: Column, bands: Sequence[float] = CAMFIT_BANDS) -> Column:
+    """Insertion gains of the bands in dB: none below 0, and all 0 where there is no loss."""
+    at = resampled(gram, bands)["levels"]
+    intercepts = F.array(*[F.lit(v) for v in camfit_intercepts(bands)])
+    loss = F.exists(at, lambda v: v != 0)
+    return F.zip_with(at, intercepts, lambda v, i: F.when(loss, F.greatest(v * CAMFIT_SLOPE + i, F.lit(0.0))).otherwise(F.lit(0.0)))
+
+
+def limited_gains(gains: Column, level: Column, most: float = 100.0) -> Column:
+    """Gains for an input level, lowered where the output would pass ``most`` dB."""
+    return F.transform(gains, lambda g: F.least(g, F.lit(most) - level))
+
+
+def band_overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
+    """What share of the range b the range a covers."""
+    return F.greatest(F.least(a2, b2) - F.greatest(a1, b1), F.lit(0.0)) / (b2 - b1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from earshot.functions import arrays as A
-from earshot.functions.audiogram import FREQUENCIES, NALR_FREQUENCIES, audiogram, nalr_gains, resampled
+from earshot.functions.audiogram import CAMFIT_BANDS, FREQUENCIES, NALR_FREQUENCIES, audiogram, camfit_gains, camfit_intercepts, limited_gains, nalr_gains, resampled
 from earshot.kernels.dynamics import compressed
 from earshot.kernels.prescription import amplified
 from earshot.operators import framing
@@ -154,6 +154,29 @@ h AS (SELECT vec_id, l, CASE WHEN l[2] + l[3] + l[4] <= 180 THEN 0.05 * (l[2] +
 SELECT vec_id, {_NALR} FROM h"""
 
 
+def camfit_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain table: a row for each vector's audiogram, band and input level."""
+    levels = F.transform(F.slice("x", 1, 8), lambda v: F.abs(v) * 200)
+    rows = _signals(spark, sf_dir).select("vec_id", camfit_gains(audiogram(levels)).alias("g"))
+    inputs = F.explode(F.array(*[F.lit(float(v)) for v in (45, 65, 85)])).alias("level")
+    rows = rows.select("vec_id", "g", inputs).select("vec_id", "level", F.posexplode(limited_gains(F.col("g"), F.col("level"))).alias("band", "gain"))
+    return rows.select("vec_id", "level", "band", r6(F.col("gain")).alias("gain"))
+
+
+def _camfit_level(f: float) -> str:
+    above = next((i for i, v in enumerate(FREQUENCIES) if v > f), len(FREQUENCIES))
+    if above in (0, len(FREQUENCIES)):
+        return f"l[{max(1, above)}]"
+    f0, f1 = FREQUENCIES[above - 1], FREQUENCIES[above]
+    return f"(l[{above}] + (l[{above + 1}] - l[{above}]) * (ln({f}) - ln({f0})) / (ln({f1}) - ln({f0})))"
+
+
+CAMFIT = f"""WITH g AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: abs(x::DOUBLE) * 200) AS l FROM embeddings),
+h AS (SELECT vec_id, [{", ".join(_camfit_level(f) for f in CAMFIT_BANDS)}] AS h FROM g),
+e AS (SELECT vec_id, h, unnest([45.0, 65.0, 85.0])::DOUBLE AS level FROM h), b AS (SELECT vec_id, h, level, unnest(range(0, 9)) AS i FROM e)
+SELECT vec_id, level, CAST(i AS INTEGER) AS band, {q6(f"CASE WHEN len(list_filter(h, lambda v: v <> 0)) > 0 THEN least(greatest(h[i + 1] * 0.48 + {camfit_intercepts()}[i + 1], 0.0), 100 - level) ELSE 0.0 END")} AS gain FROM b"""
+
+
 def frame_energy_vad(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = framing.voiced_frames(_signals(spark, sf_dir), "vec_id", "x", window=16, hop=8, range_db=6.0)
     return out.select("vec_id", "frame", r6(F.col("energy_db")).alias("energy_db"), "voiced")
@@ -236,7 +259,7 @@ def hearing_aid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (array_rms, clip_count, soft_clip, pcm16, si_snr_pairs, cosine_pairs, snr_scale_mix, stem_mix, stem_gain, standardised, peak_index, audiogram_resample, nalr_gain)
+    for f in (array_rms, clip_count, soft_clip, pcm16, si_snr_pairs, cosine_pairs, snr_scale_mix, stem_mix, stem_gain, standardised, peak_index, audiogram_resample, nalr_gain, camfit_gain)
     + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, event_windows, compressor_gain, hearing_aid)
 }
 SQL = {
@@ -253,6 +276,7 @@ SQL = {
     "peak_index": PEAK,
     "audiogram_resample": RESAMPLE,
     "nalr_gain": NALR,
+    "camfit_gain": CAMFIT,
     "frame_energy_vad": VAD,
     "overlap_add": OVERLAP,
     "moving_rms": MOVING,
