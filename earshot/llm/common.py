@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -36,6 +37,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished rounds have left: Spark drops broadcasts, shuffles and checkpoints once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     """crc32 of an id's decimal text; null for a null id."""
     return F.crc32(F.col(column).cast("string"))
