@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import mixing, neardup, packing, quality, secrets
-from earshot.llm.common import checkpointed, table
+from earshot.llm.common import checkpointed, release, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to all labels, scores ``LEAST_SCORE`` or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    release(spark)
     scored = quality.score(docs, model, out_col="_quality")
     return scored.where(F.col("_quality") >= quality.LEAST_SCORE).select(*docs.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -41,6 +43,8 @@ def release(spark: SparkSession) -> None:
     """Let go of what finished rounds have left: Spark drops broadcasts, shuffles and checkpoints once the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc32_of_id(column: str = "doc_id") -> Column:
