@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from earshot.plans import scores, signals, work
+from earshot.plans import scores, signals, studies, work
 
-QUERIES = scores.QUERIES | signals.QUERIES | work.QUERIES
-SQL = scores.SQL | signals.SQL | work.SQL
+QUERIES = scores.QUERIES | signals.QUERIES | work.QUERIES | studies.QUERIES
+SQL = scores.SQL | signals.SQL | work.SQL | studies.SQL
