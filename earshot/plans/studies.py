@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import arrays as A
-from earshot.kernels import alignment, loudness
+from earshot.kernels import alignment, loudness, mbstoi, stoi
 from earshot.operators import scenes, stats, worklist
 from earshot.plans.common import q6, r6, table
 from earshot.plans.signals import _pairs, _signals
@@ -56,5 +56,22 @@ EVALUATION = f"""WITH s AS ({SCENES}), b AS (SELECT CAST(ceil((snr + 12.0) / 3.0
 SELECT CAST(e.band AS INTEGER) AS band, -12.0::DOUBLE + e.band * 3.0::DOUBLE AS above, -12.0::DOUBLE + (e.band + 1) * 3.0::DOUBLE AS upto, count(b.band) AS n, {q6("avg(b)")} AS mean_better, {q6("avg(l)")} AS mean_left
 FROM range(6) AS e(band) LEFT JOIN b ON b.band = e.band GROUP BY e.band"""
 
-QUERIES = {f.__name__: f for f in (scene_table, loudness_report, aligned_pairs, evaluation)}
+#: Vectors that are joined to one signal.
+JOINED = 64
+
+
+def intelligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of 64 vectors each, the right ear four samples late, with noise in both: binaural (a coarse grid) and left-ear measures."""
+    rows = _signals(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / JOINED).alias("signal")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("v"))
+    left = F.flatten(F.transform("v", lambda v: v["x"]))
+    rows = rows.select("signal", left.alias("left")).withColumn("right", F.concat(F.array_repeat(F.lit(0.0), 4), F.slice("left", F.lit(1), F.size("left") - 4)))
+    noise = F.reverse("left")
+    noisy = lambda c: F.zip_with(c, noise, lambda x, n: x + n * 0.5).alias(f"{c}_noisy")
+    rows = rows.select("signal", "left", "right", noisy("left"), noisy("right")).repartition("signal")
+    scored = mbstoi.scored(rows, rate=10_000, s=mbstoi.Settings(taus=20, gammas=10))
+    out = stoi.scored(scored, rate=10_000, clean_col="left", processed_col="left_noisy")
+    return out.select("signal", F.size("left").alias("samples"), r6(F.col("mbstoi")).alias("mbstoi"), r6(F.col("stoi")).alias("stoi"))
+
+
+QUERIES = {f.__name__: f for f in (scene_table, loudness_report, aligned_pairs, evaluation, intelligibility)}
 SQL = {"scene_table": SCENES, "evaluation": EVALUATION}
