@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import arrays as A
-from earshot.kernels import alignment, loudness, mbstoi, stoi
+from earshot.functions.keys import md5_seed
+from earshot.kernels import alignment, loudness, mbstoi, quality, stoi
 from earshot.operators import scenes, stats, worklist
 from earshot.plans.common import q6, r6, table
 from earshot.plans.signals import _pairs, _signals
@@ -57,11 +58,11 @@ SELECT CAST(e.band AS INTEGER) AS band, -12.0::DOUBLE + e.band * 3.0::DOUBLE AS
 FROM range(6) AS e(band) LEFT JOIN b ON b.band = e.band GROUP BY e.band"""
 
 #: Vectors that are joined to one signal.
-JOINED = 64
+JOINED = 128
 
 
 def intelligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of 64 vectors each, the right ear four samples late, with noise in both: binaural (a coarse grid) and left-ear measures."""
+    """Signals of 128 vectors each, the right ear four samples late, with noise in both: binaural (a coarse grid) and left-ear measures."""
     rows = _signals(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / JOINED).alias("signal")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("v"))
     left = F.flatten(F.transform("v", lambda v: v["x"]))
     rows = rows.select("signal", left.alias("left")).withColumn("right", F.concat(F.array_repeat(F.lit(0.0), 4), F.slice("left", F.lit(1), F.size("left") - 4)))
@@ -73,5 +74,19 @@ def intelligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("signal", F.size("left").alias("samples"), r6(F.col("mbstoi")).alias("mbstoi"), r6(F.col("stoi")).alias("stoi"))
 
 
-QUERIES = {f.__name__: f for f in (scene_table, loudness_report, aligned_pairs, evaluation, intelligibility)}
+def speech_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of 128 vectors each with noise, heard with a loss of hearing by the first vector; the model's noise is seeded by the signal."""
+    rows = _signals(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / JOINED).alias("signal")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("v"))
+    rows = rows.select("signal", F.flatten(F.transform("v", lambda v: v["x"])).alias("reference"))
+    rows = rows.withColumns(
+        {
+            "processed": F.zip_with("reference", F.reverse("reference"), lambda x, n: x + n * 0.3),
+            "levels": F.transform(F.slice("reference", 1, 6), lambda v: F.abs(v) * 300),
+            "seed": md5_seed(F.col("signal").cast("string")),
+        }
+    ).repartition("signal")
+    return quality.scored(rows, "hasqi", rate=16_000, seed_col="seed").select("signal", r6(F.col("hasqi")).alias("hasqi"))
+
+
+QUERIES = {f.__name__: f for f in (scene_table, loudness_report, aligned_pairs, evaluation, intelligibility, speech_quality)}
 SQL = {"scene_table": SCENES, "evaluation": EVALUATION}

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from earshot.kernels import alignment, loudness, mbstoi, stoi
+from earshot.kernels import alignment, ear, filters, loudness, mbstoi, prescription, quality, stoi
 
 
 @pytest.mark.parametrize("rate, wanted", [(10_000.0, 0.9275623756362125), (9_000.0, 0.9487599218003981)])
@@ -56,3 +56,44 @@ def test_delay():
     assert alignment.delay(x, late) == 7 and alignment.delay(late, x) == -7
     one, two = alignment.aligned(x, late)
     assert np.array_equal(one, two)
+
+
+@pytest.mark.parametrize("measure, wanted", [("hasqi", 0.002525809), ("haaqi", 0.111290948)])
+def test_quality_golden_values(measure, wanted):
+    rng = np.random.RandomState(0)
+    x, y = rng.uniform(-1, 1, 8000), rng.uniform(-1, 1, 8000)
+    assert quality.MEASURES[measure](x, y, 16_000, np.array([45, 45, 35, 45, 60, 65.0]), rng=rng) == pytest.approx(wanted, rel=1e-6, abs=1e-7)
+
+
+def test_empty_music():
+    none, some = np.zeros(0), np.ones(3)
+    assert quality.haaqi(none, none, 16_000, np.zeros(6), rng=None) == 1 and quality.haaqi(none, some, 16_000, np.zeros(6), rng=None) == 0
+
+
+def test_ear_model_golden_sums():
+    rng = np.random.RandomState(0)
+    x, noise = rng.random_sample(600), rng.random_sample(600)
+    one, two = ear.listen(x, 24_000, x + noise, 24_000, np.array([45, 45, 35, 45, 60, 65.0]), equalised=0, level=65, rng=rng, shift=0.0, bands=10)
+    sums = [np.abs(v).sum() for h in (one, two) for v in (h.db, h.motion, h.level)]
+    assert sums == pytest.approx([102596.63767028379, 65517.72934742906, 291.3527365691821, 4145.3884196835625, 2366.401656815131, 13.655317152968216], rel=1e-7)
+
+
+def test_ear_model_stages():
+    assert ear.centre_frequencies(10).sum() == pytest.approx(23935.19626226296)
+    x = 100 * np.random.RandomState(0).random_sample(600)
+    late = np.concatenate([np.zeros(50), x[:-50]])
+    assert [np.abs(v).sum() for v in ear.aligned_inputs(x, late)] == pytest.approx([29892.167176853407, 27199.009291096496])
+    assert np.abs(ear.middle_ear(x)).sum() == pytest.approx(9241.220369749171)
+    assert np.abs(ear.at_model_rate(x / 100, 12_000)).sum() == pytest.approx(604.1522707137393)
+    assert quality.smoothed(np.random.RandomState(0).random_sample((4, 600)), 1).sum() == pytest.approx(100.7397658862719)
+
+
+def test_nalr_golden_sum():
+    gains = prescription.nalr_gains_of(np.array([45, 45, 35, 45, 60, 65.0]))
+    assert np.abs(prescription.nalr_filter(gains, 44_100)).sum() == pytest.approx(28.846583644263408)
+
+
+def test_chebyshev_stops():
+    b, a = filters.cheby2(7, 30, 0.5)
+    response = lambda w: abs(np.polyval(b, np.exp(1j * np.pi * w)) / np.polyval(a, np.exp(1j * np.pi * w)))
+    assert response(0) == pytest.approx(1) and response(0.5) == pytest.approx(10**-1.5) and max(map(response, np.linspace(0.5, 1, 50))) < 10**-1.5 + 1e-9
