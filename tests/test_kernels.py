@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from earshot.kernels import alignment, ear, filters, loudness, mbstoi, prescription, quality, stoi
+from earshot.kernels import alignment, ear, filters, haspi, loudness, mbstoi, prescription, quality, stoi
 
 
 @pytest.mark.parametrize("rate, wanted", [(10_000.0, 0.9275623756362125), (9_000.0, 0.9487599218003981)])
@@ -97,3 +97,22 @@ def test_chebyshev_stops():
     b, a = filters.cheby2(7, 30, 0.5)
     response = lambda w: abs(np.polyval(b, np.exp(1j * np.pi * w)) / np.polyval(a, np.exp(1j * np.pi * w)))
     assert response(0) == pytest.approx(1) and response(0.5) == pytest.approx(10**-1.5) and max(map(response, np.linspace(0.5, 1, 50))) < 10**-1.5 + 1e-9
+
+
+def test_haspi_stages():
+    both = np.array([[80.0, 80, 80, 80], [40, 50, 60, 70]])
+    assert haspi.low_passed(both, 1000, 16_000)[:, 0] == pytest.approx([48.84481105, 32.32800458])
+    x = np.random.RandomState(0).random_sample((6, 700))
+    bands = haspi.modulation(x - x.mean(axis=1, keepdims=True), 2560)
+    assert bands.shape == (10, 6, 700) and haspi.correlations(bands, 2 * bands) == pytest.approx(1)
+
+
+def test_haspi_falls_with_noise():
+    rng = np.random.RandomState(0)
+    x, noise = rng.uniform(-1, 1, 8000) * np.repeat(rng.uniform(0, 1, 80), 100), rng.uniform(-1, 1, 8000)
+    levels = np.full(6, 20.0)
+    clean, noisy = (haspi.features(x, x + g * noise, 16_000, levels, rng=np.random.RandomState(1)).mean() for g in (0.01, 1))
+    assert clean > noisy
+    network = haspi.Networks(np.ones((2, 11, 4)), np.ones((2, 5)))
+    assert 0 < network(np.full(10, 0.5)) <= 1 / haspi.MOST
+    assert np.isnan(haspi.features(x, x, 16_000, np.full(6, 20.0), level=-200, rng=rng)).all()
