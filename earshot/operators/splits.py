@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from earshot.functions.keys import seeded_order
 from earshot.operators.worklist import numbered_rows
+from earshot.storage import checkpointed
 
 
 def sample_per_group(df: DataFrame, by: Sequence[str], key: str, k: int, seed: int) -> DataFrame:
@@ -36,7 +37,7 @@ def prompt_split(df: DataFrame, group: str, target: int, seed: int) -> DataFrame
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_draw", seeded_order(seed, F.col(group)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = sizes.repartitionByRange(parts, "_draw", group).withColumn("_part", F.spark_partition_id())
+    ranged = checkpointed(sizes.repartitionByRange(parts, "_draw", group).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum("n").alias("_n"))
     before = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     here = Window.partitionBy("_part").orderBy("_draw", group).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from earshot.storage import checkpointed
+
 
 def numbered_rows(df: DataFrame, order: Sequence[str], out: str = "rn", *, first: int = 0, parts: int | None = None) -> DataFrame:
     """``df`` with consecutive numbers from ``first`` in the order of columns that identify a row.
 
     Rows are range-partitioned by the order and numbered within each range; a
-    range begins where the ones before it end. No task holds all rows.
+    range begins where the ones before it end. No task holds all rows. The ranges
+    come from a sample, so the partitioned rows are stored before they are counted.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").count()  # a row for each range
     before = counts.select("_part", (F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     here = Window.partitionBy("_part").orderBy(*order)
