@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.storage import checkpointed
+
+__all__ = ["checkpointed", "chunks", "crc32_of_id", "ragged", "release", "schema_with", "table", "with_columns"]
+
 #: Characters of text that a Python worker turns into arrays at once; a longer text is taken whole.
 CHUNK_CHARS = 1 << 20
 
@@ -21,24 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the cluster's shared checkpoint folder, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``. A folder of our own is
-    made only where none is set and Spark runs in one process.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="earshot-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let go of what finished rounds have left: Spark drops broadcasts, shuffles and checkpoints once the driver's garbage is collected."""
     gc.collect()
