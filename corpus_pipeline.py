@@ -41,8 +41,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.packed_documents(docs)
+    """The pieces of all documents with their places in sequences.
+
+    Workers outlive a stage, so they remember fewer words here than alone.
+    """
+    return packing.packed_documents(docs, cache_words=100_000)
 
 
 def _sized(docs: DataFrame) -> DataFrame:

@@ -17,19 +17,23 @@ from earshot.storage import checkpointed
 __all__ = ["checkpointed", "chunks", "crc32_of_id", "ragged", "release", "schema_with", "table", "with_columns"]
 
 #: Characters of text that a Python worker turns into arrays at once; a longer text is taken whole.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of what finished rounds have left: Spark drops broadcasts, shuffles and checkpoints once the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
 
 
 def crc32_of_id(column: str = "doc_id") -> Column:
@@ -38,7 +42,11 @@ def crc32_of_id(column: str = "doc_id") -> Column:
 
 
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive runs of ``texts`` (null as empty) of about ``most`` characters, with the index of their first."""
+    """Consecutive runs of ``texts`` (null as empty) of about ``most`` characters, with the index of their first.
+
+    After the last, memory that arrays have left goes back to the system: a
+    worker lives on after its task.
+    """
     at, held, size = 0, [], 0
     for i, text in enumerate(texts):
         held.append(text or "")
@@ -48,6 +56,7 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
             at, held, size = i + 1, [], 0
     if held:
         yield at, held
+    trim()
 
 
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:

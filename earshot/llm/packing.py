@@ -111,13 +111,13 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    if (path, cache_words) not in _encoders:
+        _encoders[path, cache_words] = Encoder(path, cache_words)
+    return _encoders[path, cache_words]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -137,7 +137,7 @@ PIECES = T.StructType(
 )
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Every document's ids and ``end_id``, cut at multiples of ``capacity``.
 
     Columns: doc_id, start (ids before the piece), length, doc_tokens, ids
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).ids, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, cache_words).ids, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             owners = batch.column(0).to_pylist()
             for at, texts in chunks(batch.column(1).to_pylist()):
@@ -303,9 +303,9 @@ def pack(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...]
     return placed.withColumn("offset", F.coalesce(F.sum(length_col).over(inside), F.lit(0)).cast("long")).select(*kept, "sequence_id", "offset")
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame, *, cache_words: int = CACHE_WORDS) -> DataFrame:
     """The pieces of ``docs`` with their checksums and places."""
-    cut = pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, cache_words=cache_words).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(checkpointed(cut)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
