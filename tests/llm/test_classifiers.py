@@ -62,7 +62,7 @@ def test_offending_sentences():
         sentences = [" ".join(rng.choice(vocabulary, 8)) for _ in range(4)]
         y.append(i % 4 == 0)
         if y[-1]:
-            sentences[i % 3] += " " + bad[i % 2]
+            sentences[i % 3] += " " + bad[i // 4 % 2]
         texts.append(". ".join(sentences) + ".")
     model = toxicity.train(texts, np.array(y, int), {0: 300, 1: 100})
     text = "Abc def ghi. You NASTY thing! Abc."
