@@ -326,7 +326,7 @@ def near_duplicates(
     tried = checkpointed(proposed(buckets, range(HUBS)))
     links = check(tried)
     roots = components(links)
-    for turn in count(1):
+    for turn in count(HUBS):
         release(docs.sparkSession)
         # one member of each class in a bucket; those of one class only are settled
         held = buckets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -118,3 +118,10 @@ def test_components_of_a_chain(spark):
     keys = [bytes([0] * 15 + [i]) for i in rng.permutation(30)]
     links = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(keys, keys[1:], strict=False)], "a binary, b binary")
     assert {bytes(r.root) for r in neardup.components(links).collect()} == {min(keys)}
+
+
+def test_rounds_take_hubs_that_the_first_pass_did_not(spark, monkeypatch):
+    turns, proposed = [], neardup.proposed
+    monkeypatch.setattr(neardup, "proposed", lambda buckets, some: turns.append(list(some)) or proposed(buckets, some))
+    neardup.near_duplicates(spark.createDataFrame(list(enumerate([text(), text()] * 2)), "doc_id long, text string")).count()
+    assert len(turns) > 1 and len(set(sum(turns, []))) == sum(map(len, turns))
