@@ -9,8 +9,11 @@
    to its members, never all pairs; links are verified by the exact weighted
    Jaccard similarity of the two texts.
 4. Connected components of verified links are classes. Buckets that still hold
-   several classes propose links between one member of each, other hubs each
-   time, until a round finds no new link.
+   several classes propose links between one member of each from another hub, if
+   there is much left to compare: this only makes the rest small.
+5. In buckets that hold several classes then, the samples of all members are
+   compared, block by block, with those of the other classes; every pair that
+   agrees often enough and was not tried is verified. No link is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import count
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,13 @@ BANDS, ROWS = 12, 3
 SKETCH_BITS = 18
 #: Hubs of a bucket in the first round.
 HUBS = 3
+#: Most rounds with other hubs; there is one only if buckets hold more than ``CROSSING`` pairs of different classes for
+#: each text. What they leave is compared in full.
+ROUNDS, CROSSING = 1, 100
+#: Members of a bucket that are compared with as many others at once, and rows of a comparison in memory.
+BLOCK, TILE = 8192, 128
+#: Pairs verified at once, at least; with many texts, one for every ``TEXTS_PER_PAIR``.
+PAIRS, TEXTS_PER_PAIR = 20_000, 8
 #: How much a shingle of one document outweighs one of all documents.
 IDF_SPREAD = 0.25
 #: Links whose samples agree less often than this share are not looked at further: 6 standard deviations below 0.8.
@@ -233,6 +243,76 @@ def _agreeing(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return links.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a binary, b binary")
 
 
+def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands: int, rows: int, least: float, block: int | None = None) -> DataFrame:
+    """All links a, b (a < b) between different classes of a bucket whose texts agree on at least that share of samples.
+
+    A large bucket is dealt into blocks of about ``block`` members; a task holds
+    two of them at a time. A pair comes from the first band that it shares.
+    """
+    block = block or BLOCK
+    held = buckets.join(roots, "key", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
+    several = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    members = held.join(several.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket")
+    dealt = (
+        members.join(texts.select("key", "sig"), "key")
+        .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", (F.col("mine") > F.col("other")).alias("second"), "key", "root", "sig")
+    )
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        alone, band = group.column("i")[0] == group.column("j")[0], group.column("band")[0].as_py()
+        seen: dict[bytes, int] = {}
+        root = np.array([seen.setdefault(r, len(seen)) for r in group.column("root").to_pylist()])
+        second = group.column("second").to_numpy()
+        if len(seen) < 2 or not alone and second.all() | ~second.any():
+            return
+        keys = group.column("key").combine_chunks()
+        sig = np.ascontiguousarray(np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(root), -1).T)
+        ordered = np.argsort(root, kind="stable")
+        left, right = (ordered, ordered) if alone else (ordered[~second[ordered]], ordered[second[ordered]])
+        for s in range(0, len(left), TILE):
+            one, two = left[s : s + TILE], right[s:] if alone else right
+            if root[one[0]] == root[one[-1]]:
+                two = two[root[two] != root[one[0]]]
+            if not len(two):
+                continue
+            same = np.zeros((len(one), len(two)), np.uint8)
+            fit = root[one][:, None] != root[two]
+            for b in range(bands):
+                whole = np.ones(same.shape, bool)
+                for x in sig[b * rows : (b + 1) * rows]:
+                    equal = x[one][:, None] == x[two]
+                    same += equal
+                    whole &= equal
+                if b < band:
+                    fit &= ~whole
+            at, to = np.nonzero(fit & (same >= least * len(sig)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(one[at])), keys.take(pa.array(two[to]))], names=["x", "y"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, mark = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            for start, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                now = tuple(place[:, start].tolist())
+                if now != mark and group:
+                    yield from pairs(pa.Table.from_batches(group))
+                    group = []
+                mark = now
+                group.append(batch.slice(start, end - start))
+        if group:
+            yield from pairs(pa.Table.from_batches(group))
+
+    by = ["bucket", "i", "j"]
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "x binary, y binary")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _filter_of(links: DataFrame) -> np.ndarray:
     """A bit for each link's end by its digest; the result has a fixed size."""
     ends = links.select(F.explode(F.array("a", "b")).alias("key"))
@@ -318,28 +398,46 @@ def near_duplicates(
     exact = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     exact = checkpointed(exact)
     texts = exact.where("sig is not null")
-    places = F.transform("bands", lambda x, i: F.struct(F.xxhash64(i, x).alias("bucket"), F.element_at("bands", (i + 1) % bands + 1).alias("next")))
+    places = F.transform("bands", lambda x, i: F.struct(F.xxhash64(i, x).alias("bucket"), F.element_at("bands", (i + 1) % bands + 1).alias("next"), i.cast("byte").alias("band")))
     buckets = texts.select("key", F.inline(places))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = checkpointed(buckets.join(sizes, "bucket"))
-    check = lambda links: checkpointed(verified(checkpointed(_agreeing(links, texts, LEAST_AGREEMENT)), docs, idf, text_col=text_col, words=words, least=least))
+    exactly = lambda links: checkpointed(verified(links, docs, idf, text_col=text_col, words=words, least=least))
+    check = lambda links: exactly(checkpointed(_agreeing(links, texts, LEAST_AGREEMENT)))
     tried = checkpointed(proposed(buckets, range(HUBS)))
     links = check(tried)
     roots = components(links)
-    for turn in count(HUBS):
+    documents = exact.count()
+    for turn in range(HUBS, HUBS + ROUNDS):
         release(docs.sparkSession)
         # one member of each class in a bucket; those of one class only are settled
         held = buckets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        of_class = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket")
+        crossing = of_class.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n")).agg(F.sum("n") / 2).first()[0]
+        if (crossing or 0) <= CROSSING * documents:
+            break
         one = held.groupBy("bucket", "root").agg(_least_by(F.xxhash64("key", F.lit(turn)), "key").alias("key"), F.min("next").alias("next")).drop("root")
         fresh = checkpointed(proposed(one, range(turn, turn + 1)).join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         more = check(fresh)
+        tried = checkpointed(tried.unionAll(fresh))
         if more.isEmpty():
             break
-        tried = checkpointed(tried.unionAll(fresh))
         links = checkpointed(links.unionAll(more))
         roots = components(links)
+    release(docs.sparkSession)
+    rest = checkpointed(remaining(buckets, roots, texts, bands=bands, rows=rows, least=LEAST_AGREEMENT).join(tried, ["a", "b"], "left_anti"))
+    most = max(PAIRS, documents // TEXTS_PER_PAIR)
+    parts = -(-rest.count() // most)
+    more = None
+    for part in range(parts):
+        release(docs.sparkSession)
+        found = exactly(checkpointed(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)))
+        more = found if more is None else more.unionAll(found)
+    if more is not None and not more.isEmpty():
+        release(docs.sparkSession)
+        roots = components(checkpointed(links.unionAll(more)))
     grouped = exact.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "id", "n")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key")))
     classes = grouped.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))

@@ -122,6 +122,40 @@ def test_components_of_a_chain(spark):
 
 def test_rounds_take_hubs_that_the_first_pass_did_not(spark, monkeypatch):
     turns, proposed = [], neardup.proposed
+    monkeypatch.setattr(neardup, "CROSSING", -1)
     monkeypatch.setattr(neardup, "proposed", lambda buckets, some: turns.append(list(some)) or proposed(buckets, some))
     neardup.near_duplicates(spark.createDataFrame(list(enumerate([text(), text()] * 2)), "doc_id long, text string")).count()
     assert len(turns) > 1 and len(set(sum(turns, []))) == sum(map(len, turns))
+
+
+def hidden_pairs(pairs=130):
+    """Texts at about 0.6 to 0.7 of each other by a passage they all share; each has one near copy a little above 0.8."""
+    own = np.random.default_rng(11)
+    passage = list(own.choice(VOCABULARY, 420))
+    rows = []
+    for _ in range(pairs):
+        rest = list(own.choice(VOCABULARY, 85))
+        rows += [" ".join(passage + rest), " ".join(passage + rest[:-42] + list(own.choice(VOCABULARY, 42)))]
+    return rows
+
+
+def weighted_similarities(rows):
+    every = neardup.shingles(rows)
+    parts = [every[0][a:b] for a, b in zip(every[1], every[1][1:], strict=False)]
+    seen = np.bincount(neardup._slot(np.concatenate([np.unique(p) for p in parts])), minlength=1 << neardup.SKETCH_BITS)
+    idf = neardup.idf_table(seen, len(rows))
+    vectors = [d.astype("<u8").tobytes() + w.astype("<f4").tobytes() for d, w in (neardup.weighted(p, idf) for p in parts)]
+    return {(i, j): neardup._similarity(vectors[i], vectors[j]) for i in range(len(rows)) for j in range(i)}
+
+
+def test_pairs_hidden_among_many_texts_below_the_threshold(spark, monkeypatch):
+    rows = hidden_pairs()
+    near = {p: s for p, s in weighted_similarities(rows).items() if s >= 0.8}
+    others = [s for p, s in weighted_similarities(rows[::2]).items()]
+    assert set(near) == {(i + 1, i) for i in range(0, len(rows), 2)} and max(near.values()) < 0.88 and 0.6 < min(others) < max(others) < 0.75
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for block, pairs in ((8192, 10**6), (40, 9000)):  # in one piece, and in blocks and parts
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        got = {r.id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+        assert [i for i in got if got[i] != i // 2 * 2] == []
