@@ -73,10 +73,11 @@ class _Chunks(dict):
 
         super().__init__()
         self.tokenizer, self.words, self.most = tokenizer, words, most
+        self.added = tuple(token.content for token in tokenizer.get_added_tokens_decoder().values())
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
-        if max(chunk) < BEYOND:
+        if max(chunk) < BEYOND and not any(token in chunk for token in self.added):
             lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
             ids = b"".join(map(self.words.__getitem__, self.find(lower)))
         else:
@@ -92,7 +93,8 @@ class Encoder:
 
     The tokeniser's normaliser and pre-tokeniser never join text across white
     space, so the ids of a text are those of its chunks, one after the other.
-    Texts with the four separators that Python counts as white space and the
+    Chunks that spell a token added to the vocabulary go to the tokeniser, which
+    gives them that token's id. Texts with the four separators that Python counts as white space and the
     tokeniser does not go through the tokeniser whole.
     """
 
@@ -101,7 +103,6 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.chunks = _Chunks(self.tokenizer, _Words(self.tokenizer, cache_words), cache_words)
 
     def ids(self, text: str) -> bytes:
