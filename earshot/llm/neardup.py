@@ -67,7 +67,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     count = np.diff(w.first)
     h, n = w.hashes, len(w.hashes)
     rolled = np.zeros(n, np.uint64)
-    for j in range(words):
+    for j in range(min(words, n)):
         rolled[: n - j] = rolled[: n - j] * np.uint64(0x100000001B3) + h[j:]
     many = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     first = np.zeros(len(texts) + 1, np.int64)

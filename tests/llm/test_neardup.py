@@ -3,6 +3,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from earshot.llm import neardup
@@ -159,3 +161,21 @@ def test_pairs_hidden_among_many_texts_below_the_threshold(spark, monkeypatch):
         monkeypatch.setattr(neardup, "PAIRS", pairs)
         got = {r.id: r.class_id for r in neardup.near_duplicates(docs).collect()}
         assert [i for i in got if got[i] != i // 2 * 2] == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 8), max_size=5))
+def test_chunks_of_few_words(counts):
+    texts = [" ".join(f"w{i}{j}" for j in range(n)) for i, n in enumerate(counts)]
+    hashes, first = neardup.shingles(texts)
+    assert np.diff(first).tolist() == [n - 4 if n >= 5 else min(n, 1) for n in counts]
+    for i, text in enumerate(texts):
+        alone, _ = neardup.shingles([text])
+        assert hashes[first[i] : first[i + 1]].tolist() == alone.tolist()
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_a_table_of_one_short_text(spark, n):
+    text = " ".join(f"w{i}" for i in range(n))
+    rows = neardup.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.id, r.class_id, r.class_size, r.kept) for r in rows] == [(1, 1, 1, True)]
