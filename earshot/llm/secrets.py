@@ -8,13 +8,13 @@ that holds the blob. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm.common import checkpointed, table
+from earshot.llm.common import checkpointed, fresh_names, salted_join, table
 
 
 @dataclass(frozen=True)
@@ -49,26 +49,52 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
-SPAN = "struct<start:bigint,place:int,end:bigint,kind:string>"
+SPAN = "struct<start:bigint,place:bigint,end:bigint,kind:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What ``combine`` makes of 0 and all earlier values, for each of an array of long.
+
+    The array is folded in about as many pieces as a piece has values: an array
+    grows by a copy, so that one fold over n values would copy n * n of them.
+    """
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    fold = lambda some, of: F.aggregate(some, zero, lambda s, x: F.struct(combine(s["at"], of(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def in_pieces(all_: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(all_))).cast("int"), F.lit(1))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), size)
+        folded = F.transform(firsts, lambda i: fold(F.slice(all_, i, size), lambda x: x))
+        starts = lambda pieces: fold(pieces, lambda x: x["at"])["out"]
+        return _let(folded, lambda pieces: F.flatten(F.zip_with(pieces, starts(pieces), lambda p, start: F.transform(p["out"], lambda x: combine(start, x)))))
+
+    return _let(values, in_pieces)
+
+
 def _spans(text: Column, rule: Rule, place: int) -> Column:
     """Spans of one rule: between n matches lie n + 1 pieces of text, whose lengths give the offsets."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else F.lit(None)
     pieces = F.split(text, rule.pattern, -1)
-    groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("a"), matches.alias("b"), groups.alias("c"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(NONE).alias("out"))
+    long = lambda x: F.transform(x, lambda t: F.length(t).cast("bigint"))
+    lengths = F.struct(long(pieces).alias("a"), long(matches).alias("b"), (long(groups) if rule.group else F.expr("cast(null as array<bigint>)")).alias("c"))
 
-    def step(state: Column, x: Column) -> Column:
-        first = state["at"] + F.length(x["a"])
-        end = first + F.length(x["b"])
-        span = F.struct(first.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        out = F.when(F.length(x["c"]) >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct(end.cast("bigint").alias("at"), out.alias("out"))
+    def place_them(x: Column) -> Column:
+        gaps = F.slice(x["a"], 1, F.size(x["b"]))
+        kept = x["c"] if rule.group else x["b"]
+        starts = F.zip_with(_before(F.zip_with(gaps, x["b"], lambda g, b: g + b), lambda s, y: s + y), gaps, lambda s, g: s + g)
+        spans = F.zip_with(starts, x["b"], lambda s, b: F.struct(s.alias("start"), F.lit(place).cast("bigint").alias("place"), (s + b).alias("end"), F.lit(rule.kind).alias("kind")))
+        if not rule.least:
+            return spans
+        return F.filter(F.zip_with(spans, kept, lambda s, c: F.when(c >= rule.least, s)), lambda s: s.isNotNull())
 
-    return F.when(text.rlike(rule.hint or rule.pattern), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(F.expr(NONE))
+    return F.when(text.rlike(rule.hint or rule.pattern), _let(lengths, place_them)).otherwise(F.expr(NONE))
 
 
 def scan(blobs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", seen_col: str | None = None) -> Column:
@@ -106,14 +132,21 @@ def findings(docs: DataFrame, ledger: DataFrame, *, rules: Sequence[Rule] = RULE
     """``docs`` with all spans of the given rules' versions, by start, then rule.
 
     Blobs without findings are not joined: only the rest of the ledger is moved.
-    A blob that the ledger lacks has no spans.
+    A blob that the ledger lacks has no spans. The copies of a frequent blob are
+    dealt to several tasks. A column of ``docs`` named as ``out_col`` is an error.
     """
+    if out_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the input already has a column {out_col!r}; rename it first")
+    blob, found, by = fresh_names(docs, "blob", "found_spans", "copy")
     keys = [r.key for r in rules]
-    rows = ledger.select("blob", F.explode("found").alias("k", "v")).where(F.col("k").isin(keys) & (F.size("v") > 0))
-    rows = rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("_spans"))
-    blob = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
-    joined = docs.withColumn("_blob", blob).join(rows, F.col("_blob") == rows["blob"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("_spans", F.expr(NONE)).alias(out_col))
+    rows = ledger.select(F.col("blob").alias(blob), F.explode("found").alias("k", "v")).where(F.col("k").isin(keys) & (F.size("v") > 0))
+    rows = rows.groupBy(blob).agg(F.sort_array(F.flatten(F.collect_list("v"))).alias("v"))
+    # spans that a ledger holds twice lie side by side
+    rows = rows.select(blob, _let(F.col("v"), lambda v: F.filter(v, lambda s, i: (i == 0) | (s != F.get(v, i - 1)))).alias(found))
+    others = [f.name for f in docs.schema.fields if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    named = docs.withColumns({blob: F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), by: F.xxhash64(F.lit(0), *(F.col(f"`{c}`") for c in others))})
+    joined = salted_join(named, rows, blob, by, "left")
+    return joined.select(*docs.columns, F.coalesce(found, F.expr(NONE)).alias(out_col))
 
 
 def joined_spans(spans: Column, kinds: Sequence[str] | None = None) -> Column:
@@ -124,16 +157,25 @@ def joined_spans(spans: Column, kinds: Sequence[str] | None = None) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every stretch that spans cover, overlapping or touching ones together, replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    ends = F.transform(spans, lambda s: s["end"])
+    # the text between what is covered so far and each span, but for spans that begin within it
+    gaps = F.zip_with(spans, _before(ends, F.greatest), lambda s, at: F.struct(at.alias("a"), s["start"].alias("b")))
+    cuts = F.filter(gaps, lambda g, i: (i == 0) | (g["b"] > g["a"]))
+    cut = lambda t, first, end: F.substring(t, (first + 1).cast("int"), (end - first).cast("int"))
+
+    def in_pieces(all_: Column) -> Column:
+        """A cut is counted from the start of its text, so that cuts are made from pieces of the whole."""
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+
+        def piece(i: Column) -> Column:
+            some = F.slice(all_, i, size)
+            from_, to = some[0]["a"], F.element_at(some, -1)["b"]
+            return _let(F.struct(cut(text, from_, to).alias("t"), from_.alias("a"), some.alias("some")), lambda p: F.array_join(F.transform(p["some"], lambda g: F.concat(cut(p["t"], g["a"] - p["a"], g["b"] - p["a"]), F.lit(mark))), ""))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        covered = (s["start"] <= state["at"]) & (F.size(state["out"]) > 0)
-        out = F.when(covered, state["out"]).otherwise(F.concat(state["out"], F.array(gap, F.lit(mark))))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(all_), size), piece), "")
 
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    rest = F.substring(text, (F.array_max(ends) + 1).cast("int"), F.lit(2**31 - 1))
+    return F.when(F.size(spans) > 0, F.concat(_let(cuts, in_pieces), rest)).otherwise(text)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

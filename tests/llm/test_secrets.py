@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -95,3 +96,43 @@ def test_query_equals_sql(spark, tmp_path):
     ours = secrets.op2_secrets(spark, str(tmp_path)).toPandas()
     theirs = duck.execute(secrets.OP2_SQL).df()[list(ours.columns)]
     assert sorted(map(str, ours.values.tolist())) == sorted(map(str, theirs.values.tolist()))
+
+
+def redact(text, spans):
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if not out or a > at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)), max_size=14), min_size=1, max_size=20))
+def test_redaction_of_any_spans(spark, cases):
+    text = "aé\U0001f600bcdefghij" * 7
+    rows = [(i, text, sorted((a, 0, a + n, "k") for a, n in spans)) for i, spans in enumerate(cases)]
+    frame = spark.createDataFrame(rows, f"i int, text string, spans array<{secrets.SPAN}>")
+    got = {r.i: r.v for r in frame.select("i", secrets.redacted(F.col("text"), F.col("spans")).alias("v")).collect()}
+    assert got == {i: redact(text, [(a, b) for a, _, b, _ in spans]) for i, _, spans in rows}
+
+
+def test_many_matches_in_a_text_take_linear_time(spark):
+    dump = "".join(f"password={i:08d}; AKIAABCDEFGHIJKL{i:08d}\n" for i in range(40_000))
+    docs = docs_of(spark, [dump]).repartition(1).cache()
+    docs.count()
+    began = time.perf_counter()
+    rows = scanned(docs).select(F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("end"), F.length(secrets.redacted(F.col("text"), F.col("spans"))).alias("left")).collect()
+    assert [tuple(r) for r in rows] == [(80_000, len(dump) - 1, 40_000 * len("[SECRET]; [SECRET]\n"))]
+    assert time.perf_counter() - began < 20
+
+
+def test_a_clash_with_the_result_is_an_error(spark, edges):
+    with pytest.raises(ValueError, match="spans"):
+        secrets.findings(edges.withColumn("Spans", F.lit(1)), secrets.scan_ledger(edges))
+
+
+def test_copies_of_a_frequent_blob_keep_their_findings(spark):
+    texts = ["token=abcdefgh"] * 3000 + ["", None] + ["plain"] * 3000
+    got = spans(scanned(docs_of(spark, texts)))
+    assert all(got[i] == ["assign:0:14"] for i in range(3000)) and not any(got[i] for i in range(3000, 6002))
