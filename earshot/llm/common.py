@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from earshot.storage import checkpointed
 
-__all__ = ["checkpointed", "chunks", "crc32_of_id", "ragged", "release", "schema_with", "table", "with_columns"]
+__all__ = ["checkpointed", "chunks", "crc32_of_id", "fresh_names", "hot_parts", "ragged", "release", "salted_join", "schema_with", "table", "with_columns", "with_parts"]
 
 #: Characters of text that a Python worker turns into arrays at once; a longer text is taken whole.
 CHUNK_CHARS = 1 << 19
 
 
+#: A key with this many rows or more is dealt to several tasks; no more than ``MOST_HOT`` such keys are broadcast.
+HOT_ROWS, MOST_HOT = 1024, 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,3 +82,45 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def hot_parts(rows: DataFrame, key: str) -> DataFrame | None:
+    """``key`` and ``_parts`` of the ``MOST_HOT`` most frequent keys of ``HOT_ROWS`` rows or more; null if there are none.
+
+    Rows are counted before they are shuffled. Any other key has fewer rows than
+    ``HOT_ROWS``, or no more than the ``MOST_HOT``-th part of all.
+    """
+    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
+    hot = heavy.orderBy(F.desc("n"), key).limit(MOST_HOT).collect()
+    if not hot:
+        return None
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(r[0], min(4096, -(-2 * r[1] // HOT_ROWS))) for r in hot], f"{key} {kind}, _parts int")
+
+
+def with_parts(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` with ``_parts``: how many tasks share the rows of their key."""
+    if hot is None:
+        return rows.withColumn("_parts", F.lit(1))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one`` (at most a row for each value of ``key``), the rows of hot keys dealt to several tasks by ``by``; inner or left."""
+    hot = hot_parts(rows, key)
+    if hot is None:
+        return rows.join(one, key, how)
+    left = with_parts(rows, hot, key).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    right = with_parts(one, hot, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

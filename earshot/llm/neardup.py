@@ -1,13 +1,14 @@
 """Near-duplicate classes by improved consistent weighted sampling of TF-IDF word shingles.
 
-1. Document frequencies of all shingles of all documents go into a count sketch
-   of fixed size (exact while the corpus is small, an upper bound beyond).
+1. Document frequencies of frequent shingles are counted exactly: a sketch of all
+   documents names the shingles that may be frequent, a second pass counts them.
 2. Each text gets ``bands * rows`` consistent samples of its weighted shingles;
    two texts agree on a sample with the probability of their weighted Jaccard
    similarity. Equal texts meet by a digest and count as one from here on.
-3. Texts with an equal band meet in a bucket. A bucket proposes links from hubs
-   to its members, never all pairs; links are verified by the exact weighted
-   Jaccard similarity of the two texts.
+3. Texts with an equal band meet in a bucket. The weighted shingles of those that
+   meet another are stored once. A bucket proposes links from hubs to its
+   members, never all pairs; links are verified by the exact weighted Jaccard
+   similarity of the two texts. Large buckets are dealt to several tasks.
 4. Connected components of verified links are classes. Buckets that still hold
    several classes propose links between one member of each from another hub, if
    there is much left to compare: this only makes the rest small.
@@ -19,7 +20,9 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import pairwise
 
@@ -30,12 +33,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import textvec as tv
-from earshot.llm.common import checkpointed, chunks, ragged, release, table
+from earshot.llm.common import checkpointed, chunks, fresh_names, hot_parts, ragged, release, salted_join, table, with_parts
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 12, 3
-#: Buckets of the frequency sketch: 8 bytes each, whatever the corpus.
-SKETCH_BITS = 18
+#: Counters of the frequency sketch, and of it the part that a task hands on at once.
+SKETCH_BITS, PART_BITS = 20, 14
+#: Most shingles whose document frequency is told from the least. A shingle in fewer documents than the number of all
+#: (document, shingle) pairs over this counts as one in just as many.
+FREQUENT = 1 << 18
 #: Hubs of a bucket in the first round.
 HUBS = 3
 #: Most rounds with other hubs; there is one only if buckets hold more than ``CROSSING`` pairs of different classes for
@@ -45,12 +51,12 @@ ROUNDS, CROSSING = 1, 100
 BLOCK, TILE = 8192, 128
 #: Pairs verified at once, at least; with many texts, one for every ``TEXTS_PER_PAIR``.
 PAIRS, TEXTS_PER_PAIR = 20_000, 8
-#: How much a shingle of one document outweighs one of all documents.
-IDF_SPREAD = 0.25
+#: How much a rare shingle outweighs one of all documents.
+IDF_SPREAD = 1.0
 #: Links whose samples agree less often than this share are not looked at further: 6 standard deviations below 0.8.
 LEAST_AGREEMENT = 0.42
-#: Bits of the filter that keeps other texts from being read for verification.
-FILTER_BITS = 26
+#: Most bits (as a power of two) of the filter that keeps other texts from being read for verification.
+FILTER_BITS = 30
 
 
 # ---------------------------------------------------------------- shingles
@@ -91,50 +97,126 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _distinct(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Distinct shingles of each text, those of a chunk together, and how many texts have any."""
+    for batch in batches:
+        for _, texts in chunks(batch.column(0).to_pylist()):
+            hashes, first = shingles(texts, words)
+            text = np.repeat(np.arange(len(texts)), np.diff(first))
+            at = np.argsort(hashes, kind="stable")  # a shingle that a text repeats stands beside itself
+            h, t = hashes[at], text[at]
+            yield h[np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]], int((np.diff(first) > 0).sum())
 
 
-def document_frequencies(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """How many documents have a shingle of each sketch bucket.
+@dataclass(frozen=True)
+class Idf:
+    """Weights of shingles: ``weights`` of the frequent ones ``hashes`` (rising), ``rest`` of all others."""
 
-    Within a bucket every document counts once for each of its distinct shingles, so the
-    number is never below the frequency of any of its shingles. Tasks add up
-    their own documents; what meets is a fixed number of buckets for each task.
-    """
+    hashes: np.ndarray
+    weights: np.ndarray
+    rest: float
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(shingles), self.rest, np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == shingles, self.weights[at], np.float32(self.rest))
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for _, texts in chunks(batch.column(0).to_pylist()):
-                hashes, first = shingles(texts, words)
-                # a shingle that a text repeats stands beside itself once sorted with the text's number
-                text = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(first))
-                key = np.sort(hashes >> np.uint64(20) << np.uint64(20) | text)
-                key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-                held += np.bincount(_slot(key), minlength=1 << SKETCH_BITS)
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["i", "n"])
-
-    partial = docs.select(F.col(text_col).cast("string")).mapInArrow(tally, "i int, n long")
-    got = partial.groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each bucket
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out
 
+@dataclass(frozen=True)
+class Frequencies:
+    """Exact document ``counts`` of all shingles ``hashes`` (rising) of ``floor`` documents or more, among ``documents``."""
 
-def idf_table(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    """A weight from 1 (in every document) to 1 + ``IDF_SPREAD`` (in one), by the logarithm of the frequency."""
-    share = np.log(np.clip(frequencies, 1, max(documents, 1))) / np.log(max(documents, 2))
-    return (1 + IDF_SPREAD * (1 - share)).astype(np.float32)
+    hashes: np.ndarray
+    counts: np.ndarray
+    floor: int
+    documents: int
 
+    def idf(self, spread: float = IDF_SPREAD) -> Idf:
+        """From 1 (in every document) to 1 + ``spread`` (in ``floor`` or fewer), by the logarithm of documents over frequency."""
+        scale = np.log(self.documents / self.floor) if self.documents > self.floor else 1.0
+        share = np.log(self.documents / self.counts) / scale if len(self.counts) else np.zeros(0)
+        return Idf(self.hashes, (1 + spread * np.clip(share, 0, 1)).astype(np.float32), float(np.float32(1 + spread)))
 
-def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a text, rising, and their weights: count times inverse document frequency."""
-    ordered = np.sort(hashes)
-    start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-    distinct = ordered[start]
-    return distinct, np.diff(np.append(start, len(ordered))).astype(np.float32) * idf[_slot(distinct)]
+
+def document_frequencies(docs: DataFrame, text_col: str = "text", words: int = WORDS, most: int | None = None, sketch_bits: int | None = None) -> Frequencies:
+    """Frequencies of at most ``most`` shingles, over all documents with words; texts are read twice.
+
+    ``floor`` is the number of all pairs of a document and a shingle of it over
+    ``most``, so no more than ``most`` shingles can reach it. A counter of the
+    sketch is the sum of the frequencies of its shingles: a shingle of ``floor``
+    documents lies in a counter of as much, and only such shingles are counted
+    one by one. In a corpus of up to ``most`` pairs that is all of them.
+    """
+    most, bits = most or FREQUENT, sketch_bits or SKETCH_BITS
+    part = 1 << min(PART_BITS, bits)
+    slot = lambda hashes: (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    texts = docs.select(F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
+
+    def parts_of(held: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(held.reshape(-1, part).any(axis=1))
+        rows = [zlib.compress(held[i * part : (i + 1) * part].tobytes(), 1) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=["part", "held"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, documents = np.zeros(1 << bits, np.int64), 0
+        for distinct, n in _distinct(batches, words):
+            held += np.bincount(slot(distinct), minlength=1 << bits)
+            documents += n
+        yield parts_of(held)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([zlib.compress(np.array([documents]).tobytes())], pa.binary())], names=["part", "held"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = np.frombuffer(zlib.decompress(held), np.int64)
+                sums[i] = sums[i] + more if i in sums else more
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "held"])
+
+    schema = "part int, held binary"
+    merged = texts.mapInArrow(tally, schema).repartition("part").mapInArrow(merge, schema).toArrow()  # the sketch: a fixed size
+    sketch, documents = np.zeros(1 << bits, np.int64), 0
+    for i, held in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist(), strict=True):
+        got = np.frombuffer(zlib.decompress(held), np.int64)
+        if i < 0:
+            documents = int(got[0])
+        else:
+            sketch[i * part : (i + 1) * part] = got
+    floor = max(1, -(-int(sketch.sum()) // most))
+    may_be = docs.sparkSession.sparkContext.broadcast(sketch >= floor)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n)], names=["h", "n"])
+
+        for distinct, _ in _distinct(batches, words):
+            held.append(distinct[may_be.value[slot(distinct)]])
+            size += len(held[-1])
+            if size >= 1 << 21:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
+
+    # at most `most` rows reach the floor
+    got = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()
+    hashes = got.column(0).to_numpy().astype(np.uint64)
+    at = np.argsort(hashes)
+    return Frequencies(hashes[at], got.column(1).to_numpy()[at], floor, documents)
+
+
+def weighted(hashes: np.ndarray, first: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, rising, their weights (count times inverse document frequency), and each text's first (with the end)."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.lexsort((hashes, text))
+    h, t = hashes[at], text[at]
+    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)])
+    counts = np.diff(np.append(start, len(h))).astype(np.float32)
+    return h[start], counts * idf.of(h[start]), np.searchsorted(t[start], np.arange(len(first)))
 
 
 # ---------------------------------------------------------------- samples
@@ -178,21 +260,27 @@ def samples(distinct: np.ndarray, log_weights: np.ndarray, first: np.ndarray, si
     return out
 
 
+def _tickets(keys: list[bytes | None], ids: pa.Array) -> np.ndarray:
+    """A number for each digest and id; rows of equal texts differ in it."""
+    words = np.array([0 if k is None else int.from_bytes(k[:8], "little") for k in keys], np.uint64)
+    numbers = ids.fill_null(-1).to_numpy().astype(np.uint64)
+    return (words ^ tv.mixed(numbers + np.uint64(1) + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64))).astype(np.int64)
+
+
 def signatures(docs: DataFrame, idf: Broadcast, *, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """id, ``key`` (digest of the text; null for a null text), ``bands`` and ``sig`` (32 bits of each sample; both null without shingles)."""
+    """id, ``key`` (digest of the text; null for a null text), ``ticket`` (of digest and id), ``bands`` and ``sig`` (32 bits of each sample; both null without shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(1).to_pylist()
             for at, texts in chunks(every):
                 keys = [None if raw is None else _digest(t) for raw, t in zip(every[at : at + len(texts)], texts, strict=True)]
-                hashes, first = shingles(texts, words)
+                ids = batch.column(0).slice(at, len(texts))
+                distinct, weights, first = weighted(*shingles(texts, words), idf.value)
                 has = np.flatnonzero(np.diff(first) > 0)
-                parts = [weighted(hashes[first[i] : first[i + 1]], idf.value) for i in has]
                 band_rows, sigs = [None] * len(texts), [None] * len(texts)
-                if parts:
-                    starts = np.append(0, np.cumsum([len(d) for d, _ in parts]))
-                    got = samples(np.concatenate([d for d, _ in parts]), np.log(np.concatenate([w for _, w in parts])), starts, bands * rows)
+                if len(has):
+                    got = samples(distinct, np.log(weights), np.append(first[has], first[-1]), bands * rows)
                     joined = np.zeros((len(has), bands), np.uint64)
                     for j in range(rows):
                         joined = tv.mixed(joined * np.uint64(31) + got[:, j::rows] + np.arange(bands, dtype=np.uint64))
@@ -200,10 +288,40 @@ def signatures(docs: DataFrame, idf: Broadcast, *, id_col: str, text_col: str, w
                     for j, i in enumerate(has):
                         band_rows[i], sigs[i] = joined[j].astype(np.int64), short[j].tobytes()
                 counts = np.array([0 if b is None else bands for b in band_rows])
-                flat = np.concatenate([b for b in band_rows if b is not None]) if parts else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(keys, pa.binary()), ragged(flat, counts, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "key", "bands", "sig"])
+                flat = np.concatenate([b for b in band_rows if b is not None]) if len(has) else np.zeros(0, np.int64)
+                columns = [ids, pa.array(keys, pa.binary()), pa.array(_tickets(keys, ids)), ragged(flat, counts, pa.int64()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "ticket", "bands", "sig"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(sign, "id long, key binary, ticket long, bands array<long>, sig binary")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(sign, "id long, key binary, bands array<long>, sig binary")
+
+def vectors(docs: DataFrame, tickets: DataFrame, idf: Broadcast, *, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``key`` and ``vec`` (weighted shingles) of the texts whose rows have the given tickets, and of a few others.
+
+    One pass over the texts. The tickets are sent as a filter of 16 bits each, up
+    to ``2**FILTER_BITS``; with more tickets it lets more of the other texts pass.
+    """
+    bits = min(FILTER_BITS, max(16, int(16 * tickets.count()).bit_length()))
+    place = F.pmod(F.col("ticket"), F.lit(1 << bits)) + 1  # bitmaps count from 1
+    parts = tickets.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    held = np.zeros((1 << bits) // 8, np.uint8)
+    for part, some in parts.toLocalIterator():  # a fixed size: 4 KB for each 2**15 bits
+        held[(part - 1) * 4096 :][:4096] = np.frombuffer(some, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in chunks(batch.column(1).to_pylist()):
+                keys = [_digest(t) for t in texts]
+                bit = _tickets(keys, batch.column(0).slice(at, len(texts))) & ((1 << bits) - 1)
+                some = np.flatnonzero(sent.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                if len(some):
+                    d, w, first = weighted(*shingles([texts[i] for i in some], words), idf.value)
+                    vec = [d[a:b].astype("<u8").tobytes() + w[a:b].astype("<f4").tobytes() for a, b in pairwise(first)]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(vec, pa.binary())], names=["key", "vec"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    return texts.mapInArrow(make, "key binary, vec binary").groupBy("key").agg(F.first("vec").alias("vec"))
 
 
 # ---------------------------------------------------------------- links
@@ -213,17 +331,29 @@ def _least_by(order: Column, value: str) -> Column:
     return F.min(F.struct(order.alias("o"), F.col(value).alias("k")))["k"]
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Rows of buckets with the part of theirs that they fall into."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+
+def _in_every_part(by_bucket: DataFrame) -> DataFrame:
+    """A row for each part of each bucket."""
+    return by_bucket.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def proposed(buckets: DataFrame, turns: range) -> DataFrame:
     """Links a, b (a < b) from hubs of each bucket to its other members, and from hubs of each part of it.
 
-    ``buckets`` has a row per bucket, member and the member's next band; members
-    that share that too form a part, of texts more alike. There is a hub for each turn.
+    ``buckets`` has a row per bucket, member and the member's next band, with the
+    number of tasks that share the bucket (``parts``); members that share the next
+    band too are texts more alike. There is a hub for each turn.
     """
     orders = [_least_by(F.xxhash64("key", F.lit(turn)), "key") for turn in turns]
-    out = None
+    out, members = None, _salted(buckets)
     for by in (["bucket"], ["bucket", "next"]):
-        hubs = buckets.groupBy(*by).agg(F.array_distinct(F.array(*orders)).alias("hubs"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        pairs = buckets.join(hubs, by).select("key", F.explode("hubs").alias("hub")).where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+        hubs = buckets.groupBy(*by).agg(F.array_distinct(F.array(*orders)).alias("hubs"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts")).where("n > 1").drop("n")
+        pairs = members.join(_in_every_part(hubs), [*by, "salt"]).select("key", F.explode("hubs").alias("hub")).where("key <> hub")
+        pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
         out = pairs if out is None else out.unionAll(pairs)
     return out.distinct()
 
@@ -240,7 +370,8 @@ def _agreeing(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 good = (one == two).mean(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
-    return links.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a binary, b binary")
+    both = salted_join(salted_join(links, left, "a", "b"), right, "b", "a")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a binary, b binary")
 
 
 def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands: int, rows: int, least: float, block: int | None = None) -> DataFrame:
@@ -250,9 +381,10 @@ def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands:
     two of them at a time. A pair comes from the first band that it shares.
     """
     block = block or BLOCK
-    held = buckets.join(roots, "key", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
-    several = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    members = held.join(several.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket")
+    held = buckets.join(roots, "key", "left").select("bucket", "band", "parts", "key", F.coalesce("root", "key").alias("root"))
+    several = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("parts").alias("parts")).where("lo <> hi")
+    several = _in_every_part(several.select("bucket", "parts", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    members = _salted(held).join(several, ["bucket", "salt"])
     dealt = (
         members.join(texts.select("key", "sig"), "key")
         .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -313,45 +445,17 @@ def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _filter_of(links: DataFrame) -> np.ndarray:
-    """A bit for each link's end by its digest; the result has a fixed size."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("key"))
-    place = F.pmod(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), F.lit(1 << FILTER_BITS))
-    parts = ends.select(place.alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for part, bits in parts.collect():  # at most 2048 rows of 4 KB
-        out[(part - 1) * 4096 :][:4096] = np.frombuffer(bits, np.uint8)  # parts are counted from 1
-    return out
-
-
-def verified(links: DataFrame, docs: DataFrame, idf: Broadcast, *, text_col: str, words: int, least: float) -> DataFrame:
+def verified(links: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
     """Links whose texts have a weighted Jaccard similarity of ``least`` or more, exactly."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_of(links))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in chunks(batch.column(0).to_pylist()):
-                keys = [_digest(t) for t in texts]
-                place = np.array([int.from_bytes(k[:4], "big") for k in keys], np.int64) & ((1 << FILTER_BITS) - 1)
-                some = np.flatnonzero(bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                if not len(some):
-                    continue
-                hashes, first = shingles([texts[i] for i in some], words)
-                got = [weighted(hashes[first[i] : first[i + 1]], idf.value) for i in range(len(some))]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array([d.astype("<u8").tobytes() + w.astype("<f4").tobytes() for d, w in got], pa.binary())], names=["key", "vec"])
-
-    texts = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null")
-    made = texts.mapInArrow(vectors, "key binary, vec binary").groupBy("key").agg(F.first("vec").alias("vec"))
-    made = checkpointed(made)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [_similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = made.withColumnsRenamed({"key": "a", "vec": "vec_a"}), made.withColumnsRenamed({"key": "b", "vec": "vec_b"})
-    return links.join(left, "a").join(right, "b").select("a", "b", "vec_a", "vec_b").mapInArrow(keep, "a binary, b binary")
+    left, right = vecs.withColumnsRenamed({"key": "a", "vec": "vec_a"}), vecs.withColumnsRenamed({"key": "b", "vec": "vec_b"})
+    both = salted_join(salted_join(links, left, "a", "b"), right, "b", "a")
+    return both.select("a", "b", "vec_a", "vec_b").mapInArrow(keep, "a binary, b binary")
 
 
 def _similarity(one: bytes, two: bytes) -> float:
@@ -374,16 +478,16 @@ def components(links: DataFrame) -> DataFrame:
     both = checkpointed(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     roots = checkpointed(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("root")))
     while True:
-        near = both.join(roots.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
+        near = salted_join(both, roots.withColumnRenamed("key", "b"), "b", "a").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
         step = checkpointed(roots.join(near, "key").select("key", "root", F.least("root", "near").alias("next")))
         if step.where("next <> root").isEmpty():
             return roots
         jump = step.select(F.col("key").alias("next"), F.col("next").alias("beyond"))
-        roots = checkpointed(step.join(jump, "next").select("key", F.least("next", "beyond").alias("root")))
+        roots = checkpointed(salted_join(step, jump, "next", "key").select("key", F.least("next", "beyond").alias("root")))
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spread: float = IDF_SPREAD
 ) -> DataFrame:
     """A row per row of ``docs``: ``id``, ``key`` (digest of the text), ``class_id`` (the least id of its class) ``class_size`` (rows)
     and ``kept`` (true for one id and text of each class; repeated rows of those share it).
@@ -391,32 +495,38 @@ def near_duplicates(
     Texts that are equal, or linked by similarities of ``least`` or more, share a
     class. Texts without words share a class with equal texts only; a null text
     is a class of its own, whose class_id is its id. Null ids never name a class
-    unless it has no other. Repeated rows each have a row.
+    unless it has no other. Repeated rows each have a row. ``spread`` is how much
+    more a rare shingle weighs than one of all documents (0: all alike).
     """
-    idf = docs.sparkSession.sparkContext.broadcast(idf_table(document_frequencies(docs, text_col, words), docs.count()))
+    spark = docs.sparkSession
+    idf = spark.sparkContext.broadcast(document_frequencies(docs, text_col, words).idf(spread))
     signed = checkpointed(signatures(docs, idf, id_col=id_col, text_col=text_col, words=words, bands=bands, rows=rows))
-    exact = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    exact = checkpointed(exact)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("ticket"))).alias("first")
+    exact = signed.where("key is not null").groupBy("key").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    exact = checkpointed(exact.select("key", "first.id", "first.ticket", "n", "bands", "sig"))
     texts = exact.where("sig is not null")
     places = F.transform("bands", lambda x, i: F.struct(F.xxhash64(i, x).alias("bucket"), F.element_at("bands", (i + 1) % bands + 1).alias("next"), i.cast("byte").alias("band")))
-    buckets = texts.select("key", F.inline(places))
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = checkpointed(buckets.join(sizes, "bucket"))
-    exactly = lambda links: checkpointed(verified(links, docs, idf, text_col=text_col, words=words, least=least))
+    buckets = texts.select("key", "ticket", F.inline(places))
+    hot = hot_parts(buckets, "bucket")
+    sizes = with_parts(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), hot, "bucket").withColumnRenamed("_parts", "parts")
+    dealt = _salted(with_parts(buckets, hot, "bucket").withColumnRenamed("_parts", "parts"))
+    buckets = checkpointed(dealt.join(_in_every_part(sizes), ["bucket", "salt"]).drop("salt"))
+    vecs = checkpointed(vectors(docs, buckets.select("ticket").distinct(), idf, id_col=id_col, text_col=text_col, words=words))
+    exactly = lambda links: checkpointed(verified(links, vecs, least))
     check = lambda links: exactly(checkpointed(_agreeing(links, texts, LEAST_AGREEMENT)))
     tried = checkpointed(proposed(buckets, range(HUBS)))
     links = check(tried)
     roots = components(links)
     documents = exact.count()
     for turn in range(HUBS, HUBS + ROUNDS):
-        release(docs.sparkSession)
+        release(spark)
         # one member of each class in a bucket; those of one class only are settled
         held = buckets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         of_class = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket")
         crossing = of_class.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n")).agg(F.sum("n") / 2).first()[0]
         if (crossing or 0) <= CROSSING * documents:
             break
-        one = held.groupBy("bucket", "root").agg(_least_by(F.xxhash64("key", F.lit(turn)), "key").alias("key"), F.min("next").alias("next")).drop("root")
+        one = held.groupBy("bucket", "root").agg(_least_by(F.xxhash64("key", F.lit(turn)), "key").alias("key"), F.min("next").alias("next"), F.max("parts").alias("parts")).drop("root")
         fresh = checkpointed(proposed(one, range(turn, turn + 1)).join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
@@ -426,23 +536,23 @@ def near_duplicates(
             break
         links = checkpointed(links.unionAll(more))
         roots = components(links)
-    release(docs.sparkSession)
+    release(spark)
     rest = checkpointed(remaining(buckets, roots, texts, bands=bands, rows=rows, least=LEAST_AGREEMENT).join(tried, ["a", "b"], "left_anti"))
     most = max(PAIRS, documents // TEXTS_PER_PAIR)
     parts = -(-rest.count() // most)
     more = None
     for part in range(parts):
-        release(docs.sparkSession)
-        found = exactly(checkpointed(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)))
+        release(spark)
+        found = exactly(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part))
         more = found if more is None else more.unionAll(found)
     if more is not None and not more.isEmpty():
-        release(docs.sparkSession)
+        release(spark)
         roots = components(checkpointed(links.unionAll(more)))
     grouped = exact.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "id", "n")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key")))
     classes = grouped.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))
-    by_key = grouped.join(classes, "root").select("key", F.col("first.id").alias("class_id"), F.col("first.key").alias("first_key"), "class_size")
-    out = signed.select("id", "key").join(by_key, "key", "left")
+    by_key = salted_join(grouped, classes, "root", "key").select("key", F.col("first.id").alias("class_id"), F.col("first.key").alias("first_key"), "class_size")
+    out = salted_join(signed.select("id", "key", "ticket"), by_key, "key", "ticket", "left")
     alone = F.col("key").isNull()
     return out.select(
         "id",
@@ -454,15 +564,17 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, and every row without a text."""
+    """The rows of ``docs`` that stay: one of each class, and every row without a text. Columns of any name pass through."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     kept = checkpointed(found.where("kept and key is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")))
-    rows = docs.withColumns({"_key": digest(F.col(text_col).cast("string")), "_id": F.col(id_col).cast("long")})
-    held = kept.select(F.col("id").alias("_keep_id"), F.col("key").alias("_keep_key"))
-    stays = rows.join(held, (F.col("_key") == F.col("_keep_key")) & F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi")
+    key, id_, keep_key, keep_id = fresh_names(docs, "key", "id", "keep_key", "keep_id")
+    rows = docs.withColumns({key: digest(F.col(text_col).cast("string")), id_: F.col(id_col).cast("long")})
+    held = kept.select(F.col("id").alias(keep_id), F.col("key").alias(keep_key))
+    # equal texts differ in their ids, so that no task holds all copies
+    stays = rows.join(held, (F.col(key) == F.col(keep_key)) & F.col(id_).eqNullSafe(F.col(keep_id)), "left_semi")
     if kept.where("n > 1").limit(1).count():
-        stays = stays.dropDuplicates(["_id", "_key"])
-    return stays.drop("_key", "_id").unionByName(docs.where(F.col(text_col).isNull()))
+        stays = stays.dropDuplicates([id_, key])
+    return stays.drop(key, id_).unionByName(docs.where(F.col(text_col).isNull()))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

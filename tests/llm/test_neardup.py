@@ -1,3 +1,4 @@
+import itertools
 import re
 from collections import Counter
 
@@ -83,29 +84,54 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in neardup.deduplicated(docs).collect()) == sorted(sizes)
 
 
+FLAT = neardup.Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0)
+
+
+def vectors_of(texts, idf):
+    d, w, first = neardup.weighted(*neardup.shingles(texts), idf)
+    return [d[a:b].astype("<u8").tobytes() + w[a:b].astype("<f4").tobytes() for a, b in itertools.pairwise(first)]
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     one, two = text(300), None
     words = one.split()
     words[::40] = text(len(words[::40])).split()
     two = " ".join(words)
-    idf = neardup.idf_table(np.ones(1 << neardup.SKETCH_BITS, np.int64), 10)
-    parts = [neardup.weighted(h, idf) for h in (neardup.shingles([t])[0] for t in (one, two))]
-    starts = np.append(0, np.cumsum([len(d) for d, _ in parts]))
-    got = neardup.samples(np.concatenate([d for d, _ in parts]), np.log(np.concatenate([w for _, w in parts])), starts, 250)
-    true = neardup._similarity(*[d.astype("<u8").tobytes() + w.astype("<f4").tobytes() for d, w in parts])
-    assert (got[0] == got[1]).mean() == pytest.approx(true, abs=4 * np.sqrt(true * (1 - true) / 250))
+    hashes = np.unique(neardup.shingles([one])[0])
+    some = neardup.Idf(hashes, np.linspace(1, 2, len(hashes), dtype=np.float32), 2.0)
+    for idf in (FLAT, some):
+        d, w, first = neardup.weighted(*neardup.shingles([one, two]), idf)
+        got = neardup.samples(d, np.log(w), first, 250)
+        true = neardup._similarity(*vectors_of([one, two], idf))
+        assert (got[0] == got[1]).mean() == pytest.approx(true, abs=4 * np.sqrt(true * (1 - true) / 250))
+
 
+def true_frequencies(texts):
+    return Counter(h for t in texts if t for h in set(neardup.shingles([t])[0].tolist()))
 
-def test_frequencies_count_documents(spark):
-    docs = spark.createDataFrame([("a b c d e a b c d e",), ("a b c d e",), (None,), ("",)], "text string")
-    frequencies = neardup.document_frequencies(docs, "text", 5)
-    h = neardup.shingles(["a b c d e"])[0]
-    assert frequencies[neardup._slot(h)[0]] == 2 and frequencies.sum() == 2 + 4
 
+@pytest.mark.parametrize("most, bits", [(1 << 18, 20), (300, 12), (50, 8), (3, 14)])
+def test_frequencies_are_exact_from_the_floor_on(spark, most, bits):
+    texts = [r[1] for r in corpus()]
+    found = neardup.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text", 5, most, bits)
+    wanted = true_frequencies(texts)
+    assert found.floor == max(1, -(-sum(wanted.values()) // most))
+    assert dict(zip(found.hashes.tolist(), found.counts.tolist(), strict=True)) == {h: n for h, n in wanted.items() if n >= found.floor}
+    assert len(found.hashes) <= most and (np.diff(found.hashes.astype(object)) > 0).all()
+    assert found.documents == sum(bool(t and t.strip()) for t in texts)
 
-def test_idf_falls_with_frequency():
-    w = neardup.idf_table(np.array([0, 1, 10, 1000, 2000]), 1000)
-    assert w[0] == w[1] > w[2] > w[3] == w[4] == 1
+
+def test_weights_fall_with_the_logarithm_of_the_frequency():
+    hashes = np.array([1, 2, 3, 4], np.uint64)
+    idf = neardup.Frequencies(hashes, np.array([10, 100, 1000, 500]), 10, 1000).idf(1.0)
+    assert idf.of(np.array([1, 2, 3, 4, 5], np.uint64)) == pytest.approx([2, 1.5, 1, 1 + np.log10(2) / 2, 2])
+    assert neardup.Frequencies(hashes, np.array([10, 100, 1000, 500]), 10, 1000).idf(0.0).of(hashes).tolist() == [1] * 4
+    assert neardup.Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 0).idf().of(hashes).tolist() == [2] * 4
+
+
+def test_no_text_has_frequencies_to_count(spark, none):
+    found = neardup.document_frequencies(none, "text", 5)
+    assert (len(found.hashes), found.documents) == (0, 0)
 
 
 def test_edges(spark, edges, none):
@@ -141,12 +167,15 @@ def hidden_pairs(pairs=130):
     return rows
 
 
+def idf_of(rows):
+    wanted = true_frequencies(rows)
+    hashes = np.array(sorted(wanted), np.uint64)
+    documents = sum(len(neardup.shingles([t])[0]) > 0 for t in rows if t)
+    return neardup.Frequencies(hashes, np.array([wanted[h] for h in hashes.tolist()]), 1, documents).idf()
+
+
 def weighted_similarities(rows):
-    every = neardup.shingles(rows)
-    parts = [every[0][a:b] for a, b in zip(every[1], every[1][1:], strict=False)]
-    seen = np.bincount(neardup._slot(np.concatenate([np.unique(p) for p in parts])), minlength=1 << neardup.SKETCH_BITS)
-    idf = neardup.idf_table(seen, len(rows))
-    vectors = [d.astype("<u8").tobytes() + w.astype("<f4").tobytes() for d, w in (neardup.weighted(p, idf) for p in parts)]
+    vectors = vectors_of(rows, idf_of(rows))
     return {(i, j): neardup._similarity(vectors[i], vectors[j]) for i in range(len(rows)) for j in range(i)}
 
 
