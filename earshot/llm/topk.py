@@ -1,10 +1,11 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Queries go in blocks of a fixed number of rows. For each block every candidate
-is scored in each pass; passes build global histograms of the scores, which
-narrow the interval of each query's kth value down to one integer. A last pass
-keeps scores above it, and of the scores equal to it as many as could be
-needed, smallest id first.
+Queries and candidates are packed into blocks, a row each. Every block of queries
+meets every block of candidates in each pass, all of them in one job: passes
+build global histograms of the scores, which narrow the interval of each query's
+kth value down to one integer. A last pass keeps scores above it, and of the
+scores equal to it as many as could be needed, smallest id first. Histograms,
+intervals and results stay in DataFrames.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql.window import Window
 
 from earshot.llm.common import checkpointed, table
 
-#: Queries of a block (their vectors are broadcast: block x dimensions x 8 bytes) and bins of a histogram.
-BLOCK, BINS = 8192, 256
-#: Rows of queries and of candidates that are scored at once.
-ROWS, COLUMNS = 512, 8192
+#: Queries and candidates of a block, most numbers in one, and candidates of a partition that meet a block in one task.
+QUERIES, CANDIDATES, NUMBERS, PARTITION = 2048, 4096, 1 << 20, 1 << 16
+#: Bins of a histogram.
+BINS = 256
+#: Scores are longs; those outside count as its ends. The least long of all marks a pair that is none.
+LARGEST, HALF = 2**63 - 1, np.uint64(2**63)
+PACKED = "block long, n int, ids binary, vectors binary"
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -32,16 +36,156 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(vector.isNotNull() & good, F.transform(as_double, lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column, shorter ones filled with zeros."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(lengths), width))
-    out[np.arange(width)[None, :] < lengths[:, None]] = flat
+def _pack(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (id, v) as blocks of up to ``most``: ids and vectors, of the block's greatest width, as bytes of whole floats or doubles."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, column, at = batch.column(0).to_numpy(), batch.column(1), 0
+            lengths = column.value_lengths().to_numpy()
+            while at < len(ids):
+                widest = np.maximum.accumulate(lengths[at : at + most])
+                n = max(1, int((widest * np.arange(1, len(widest) + 1) <= NUMBERS).sum()))
+                part = column.slice(at, n)
+                matrix = np.zeros((n, int(widest[n - 1])))
+                matrix[np.arange(matrix.shape[1])[None, :] < lengths[at : at + n, None]] = part.flatten().to_numpy(zero_copy_only=False)
+                kind = "<f4" if not matrix.size or np.abs(matrix).max() < 2**24 else "<f8"
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([n], pa.int32()), pa.array([ids[at : at + n].astype("<i8").tobytes()]), pa.array([(kind[-1].encode() + matrix.astype(kind).tobytes())])], names=["block", "n", "ids", "vectors"])
+                at, block = at + n, block + 1
+
+    return rows.select("id", "v").mapInArrow(pack, PACKED)
+
+
+def _unpacked(n: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    matrix = np.frombuffer(vectors, "<f4" if vectors[:1] == b"4" else "<f8", offset=1)
+    return np.frombuffer(ids, "<i8"), matrix.reshape(n, -1)
+
+
+def _integers(matrix: np.ndarray) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in matrix.tolist()], object).reshape(matrix.shape)
+
+
+def inner_products(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of two matrices of whole numbers, as longs, exact; sums beyond a long are its ends.
+
+    No partial sum exceeds the product of two rows' lengths, which tells whether
+    floats, doubles or longs hold it; numbers beyond go through Python's integers.
+    """
+    width = min(one.shape[1], two.shape[1])
+    one, two = one[:, :width], two[:, :width]
+    with np.errstate(over="ignore"):
+        a, b = (np.sqrt((x.astype(float) ** 2).sum(axis=1)) for x in (one, two))
+    out = np.zeros((len(one), len(two)), np.int64)
+    if not out.size or not a.max() or not b.max():
+        return out
+    margin = 1 + 1e-9
+    if a.max() * b.max() * margin < 2.0**24:
+        return (one.astype(np.float32, copy=False) @ two.astype(np.float32, copy=False).T).astype(np.int64)
+    for low, high in ((0, 2.0**26), (2.0**26, 2.0**31), (2.0**31, np.inf)):
+        rows = np.flatnonzero((a > low) & (a <= high))  # rows of length 0 score 0
+        if not len(rows):
+            continue
+        bound = np.where(b > 0, b, 0) * a[rows].max() * margin
+        for kind, some in ((float, bound < 2.0**53), (np.int64, (bound >= 2.0**53) & (bound < 2.0**63)), (object, ~(bound < 2.0**63))):
+            columns = np.flatnonzero(some)
+            if not len(columns):
+                continue
+            if kind is object:
+                got = _integers(one[rows]).dot(_integers(two[columns]).T)
+                got = np.minimum(np.maximum(got, -LARGEST), LARGEST)
+            else:
+                got = one[rows].astype(kind) @ two[columns].astype(kind).T
+            out[np.ix_(rows, columns)] = got.astype(np.int64)
     return out
 
 
-def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block: int = BLOCK, bins: int = BINS) -> DataFrame:
+def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, candidate ids, and scores in unsigned numbers of the same order; 0 for a candidate of the query's own id."""
+    ids, one = _unpacked(row["n"], row["ids"], row["vectors"])
+    others, two = _unpacked(row["c_n"], row["c_ids"], row["c_vectors"])
+    scores = inner_products(one, two).view(np.uint64) + HALF
+    sort = np.argsort(others, kind="stable")
+    first, last = (np.searchsorted(others[sort], ids, side=side) for side in ("left", "right"))
+    for i in np.flatnonzero(last > first):
+        scores[i, sort[first[i] : last[i]]] = 0
+    return ids, others, scores
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _state(low: np.ndarray, span: np.ndarray, above: np.ndarray, enough: np.ndarray) -> bytes:
+    """The kth values lie in [low, low + span); ``above`` scores are beyond; ``enough`` is false once there are fewer than k."""
+    return np.stack([x.astype(np.uint64) for x in (low, span, above, enough)]).tobytes()
+
+
+def _read_state(state: bytes) -> np.ndarray:
+    return np.frombuffer(state, np.uint64).reshape(4, -1)
+
+
+def _width(span: np.ndarray, bins: int) -> np.ndarray:
+    return (span - np.uint64(1)) // np.uint64(bins) + np.uint64(1)
+
+
+def _histograms(pairs: DataFrame, k: int, bins: int) -> DataFrame:
+    """How many scores fall into each of the bins of each query's interval, those left out that cannot be among the first ``k``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, least = None, None, None
+
+        def done() -> pa.RecordBatch:
+            q, bin_ = np.nonzero(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), block)), pa.array(q.astype(np.int32)), pa.array(bin_.astype(np.int32)), pa.array(held[q, bin_])], names=["block", "q", "bin", "n"])
+
+        for row in _rows(batches):
+            low, span, _, _ = _read_state(row["state"])
+            if row["block"] != block:
+                if held is not None:
+                    yield done()
+                block, held, least = row["block"], np.zeros((row["n"], bins), np.int64), None
+            _, others, scores = _scores(row)
+            if least is None and len(others) > 4 * k:
+                least = np.partition(scores, -k, axis=1)[:, -k]  # a lower bound of the kth value
+            floor = np.maximum(low, np.uint64(1)) if least is None else np.maximum(np.maximum(low, least), np.uint64(1))
+            q, c = np.nonzero(scores >= floor[:, None])
+            place = scores[q, c] - low[q]
+            inside = place < span[q]
+            bin_ = place[inside] // _width(span, bins)[q[inside]]
+            held += np.bincount(q[inside] * bins + bin_.astype(np.int64), minlength=held.size).reshape(held.shape)
+        if held is not None:
+            yield done()
+
+    return pairs.mapInArrow(count, "block long, q int, bin int, n long").groupBy("block", "q", "bin").agg(F.sum("n").alias("n"))
+
+
+def _narrowed(blocks: DataFrame, counted: DataFrame, k: int, bins: int) -> DataFrame:
+    """Blocks whose intervals are the bins that hold the kth values."""
+
+    def narrow(left: pa.Table, right: pa.Table) -> pa.Table:
+        low, span, above, enough = _read_state(left.column("state")[0].as_py())
+        width = _width(span, bins)
+        total = np.zeros((len(low), bins), np.int64)
+        total[right.column("q").to_numpy(), right.column("bin").to_numpy()] = right.column("n").to_numpy()
+        down = np.cumsum(total[:, ::-1], axis=1) + above.astype(np.int64)[:, None]  # scores at or above each bin, from the top
+        hit = down >= k
+        enough = enough.astype(bool) & hit[:, -1]
+        place = np.where(hit[:, -1], np.argmax(hit, axis=1), bins - 1)
+        before = np.where(place > 0, down[np.arange(len(low)), np.maximum(place - 1, 0)], above.astype(np.int64))
+        found = np.minimum(low + (np.uint64(bins - 1) - place.astype(np.uint64)) * width, low + span - np.uint64(1))
+        state = _state(found, np.minimum(width, low + span - found), before, enough)
+        return left.set_column(left.schema.get_field_index("state"), "state", pa.array([state]))
+
+    both = blocks.groupBy("block").cogroup(counted.groupBy("block"))
+    return both.applyInArrow(narrow, f"{PACKED}, state binary")
+
+
+def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block: int = QUERIES, bins: int = BINS) -> DataFrame:
     """Each query row's ``k`` highest integer inner products with the rows of other ids, ties to the smaller id.
 
     ``queries`` is a condition on the rows of ``vectors``. Columns: query_id,
@@ -49,119 +193,62 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
     are null or hold null or non-finite components, and rows without an id, take
     no part; a shorter vector counts as filled with zeros. A repeated id is one
     item: its rows do not answer each other, and its query is asked once for
-    each distinct vector under it. Scores past 2**53 are an error.
+    each distinct vector under it. Scores are exact; one that a long does not
+    hold is the nearest long, and is ranked as that.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), queries.alias("q")).where("id is not null and v is not null")
     rows = checkpointed(rows)
-    width, norm, asked = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.sum(F.col("q").cast("long"))).first()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    everything, longest, asked, longest_asked = rows.agg(F.count(F.lit(1)), F.max(length), F.sum(F.col("q").cast("long")), F.max(F.when(F.col("q"), length))).first()
     result = "query_id long, rank int, id long, score long"
     if not asked:
-        return spark.createDataFrame([], result).withColumnRenamed("id", id_col)
-    if norm >= 2.0**53:
-        raise ArithmeticError("scores do not fit 53 bits")
-    kind = np.float32 if norm < 2**24 else np.float64  # sums of whole numbers stay exact
-    blocks = -(-asked // block)
+        return vectors.sparkSession.createDataFrame([], result).withColumnRenamed("id", id_col)
+    parts = lambda n, size: max(1, -(-n // size))
+    few = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, parts(everything, PARTITION))
+    chunks = checkpointed(_pack(rows.coalesce(few), CANDIDATES)).select(F.col("n").alias("c_n"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
     wanted = rows.where("q").select("id", "v").dropDuplicates()
-    candidates = rows.select("id", "v")
-    parts = []
-    for b in range(blocks):
-        # about `block` rows, whatever the size of the table
-        own = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id", "v").toArrow()
-        if own.num_rows:
-            ids = own.column(0).to_numpy()
-            matrix = _matrix(own.column(1).combine_chunks(), width).astype(kind)
-            parts.append(_block(spark, candidates, ids, matrix, k, bins))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumnRenamed("id", id_col)
-
-
-def _scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First query, candidate ids, and scores (queries x candidates; -inf for the query's own id)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, COLUMNS):
-            part = batch.slice(at, COLUMNS)
-            others = part.column(0).to_numpy()
-            vectors = _matrix(part.column(1), matrix.shape[1]).astype(matrix.dtype)
-            sort = np.argsort(others, kind="stable")
-            ordered = others[sort]
-            for q in range(0, len(ids), ROWS):
-                scores = matrix[q : q + ROWS] @ vectors.T
-                some = ids[q : q + ROWS]
-                first, last = np.searchsorted(ordered, some), np.searchsorted(ordered, some, side="right")
-                for i in np.flatnonzero(last > first):
-                    scores[i, sort[first[i] : last[i]]] = -np.inf
-                yield q, others, scores
-
-
-def _block(spark: SparkSession, candidates: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, bins: int) -> DataFrame:
-    sent = spark.sparkContext.broadcast((ids, matrix))
-    norms = np.sqrt((matrix.astype(float) ** 2).sum(axis=1))
-    largest = candidates.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    bound = np.ceil(norms * largest).astype(np.int64) + 1
-    low, width = -bound, np.maximum(1, -(-(2 * bound + 1) // bins))  # bins begin at low
-    high = bound + 1  # the kth value lies in [low, high)
-    above = np.zeros(len(ids), np.int64)  # scores at or above high
-    enough = np.ones(len(ids), bool)
-    while True:
-        state = spark.sparkContext.broadcast((low, width, high))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (ids, matrix), (low, width, high) = sent.value, state.value
-            held = np.zeros((len(ids), bins), np.int64)
-            least = np.array(low)  # a lower bound of the kth value from what this task has seen
-            fresh = True
-            for q, _, scores in _scores(batches, ids, matrix):
-                n = len(scores)
-                if fresh and scores.shape[1] > 4 * k:
-                    seen = np.partition(scores, -k, axis=1)[:, -k]
-                    least[q : q + n] = np.where(np.isfinite(seen), np.maximum(least[q : q + n], np.where(np.isfinite(seen), seen, 0).astype(np.int64)), least[q : q + n])
-                    fresh = q + n < len(ids)
-                row, col = np.nonzero(scores >= least[q : q + n, None].astype(scores.dtype))
-                score = scores[row, col].astype(np.int64)
-                bin_ = (score - low[q + row]) // width[q + row]
-                inside = (score >= low[q + row]) & (score < high[q + row])
-                held[q : q + n] += np.bincount(row[inside] * bins + bin_[inside], minlength=n * bins).reshape(n, bins)
-            row, col = np.nonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(held[row, col])], names=["q", "bin", "n"])
-
-        counted = candidates.mapInArrow(count, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()  # at most block x bins rows
-        total = np.zeros((len(ids), bins), np.int64)
-        total[counted.column(0).to_numpy(), counted.column(1).to_numpy()] = counted.column(2).to_numpy()
-        down = np.cumsum(total[:, ::-1], axis=1) + above[:, None]  # scores at or above each bin, from the top
-        hit = down >= k
-        enough &= hit[:, -1]
-        place = np.where(hit[:, -1], np.argmax(hit, axis=1), bins - 1)
-        before = np.where(place > 0, down[np.arange(len(ids)), np.maximum(place - 1, 0)], above)
-        found = low + (bins - 1 - place) * width  # where the bin with the kth value begins
-        if (width == 1).all():
-            low, above = found, before
-            break
-        # a query whose bins are single values already is counted again with the rest, to the same end
-        more = width > 1
-        low, high, above = np.where(more, found, low), np.where(more, np.minimum(found + width, high), high), np.where(more, before, above)
-        width = np.where(more, np.maximum(1, -(-width // bins)), 1)
-    kth = np.where(enough, low, np.iinfo(np.int64).min // 4)
-    last = spark.sparkContext.broadcast(kth)
+
+    def interval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = []
+            for row in _rows([batch]):
+                _, matrix = _unpacked(row["n"], row["ids"], row["vectors"])
+                with np.errstate(over="ignore"):
+                    bound = np.sqrt((matrix.astype(float) ** 2).sum(axis=1)) * longest * (1 + 1e-9) + 1
+                bound = np.array([min(int(x), LARGEST) if np.isfinite(x) else LARGEST for x in bound.tolist()], np.uint64)
+                states.append(_state(HALF - bound, bound + bound + np.uint64(1), np.zeros(row["n"]), np.ones(row["n"])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.binary())], names=[*batch.schema.names, "state"])
+
+    count = parts(asked, block)
+    blocks = checkpointed(_pack(wanted.coalesce(count), block).mapInArrow(interval, f"{PACKED}, state binary"))
+    # a row of a block and a row of candidates each: the stated queries against all rows, nothing is broadcast
+    pairs = lambda: blocks.coalesce(count).hint("shuffle_replicate_nl").crossJoin(chunks)
+    greatest = min(float(longest) * float(longest_asked) * (1 + 1e-9) + 1, float(LARGEST))
+    span = int(2 * greatest) + 1  # the widest interval of all
+    while span > 1:
+        counted = _histograms(pairs(), k, bins)
+        blocks = checkpointed(_narrowed(blocks, counted, k, bins))
+        span = -(-span // bins)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ids, matrix), kth = sent.value, last.value
-        for q, others, scores in _scores(batches, ids, matrix):
-            limit = kth[q : q + len(scores), None].astype(scores.dtype)
-            row, col = np.nonzero((scores > limit) & np.isfinite(scores))
+        for row in _rows(batches):
+            low, _, _, enough = _read_state(row["state"])
+            limit = np.where(enough.astype(bool), low, np.uint64(0))[:, None]
+            ids, others, scores = _scores(row)
+            q, c = np.nonzero(scores > limit)
             # equal scores: the k smallest ids of these candidates hold all that the result can use
-            tie_row, tie_col = np.nonzero(scores == limit)
-            sort = np.lexsort((others[tie_col], tie_row))
-            tie_row, tie_col = tie_row[sort], tie_col[sort]
-            rank = np.arange(len(tie_row)) - np.searchsorted(tie_row, tie_row)
-            row, col = np.concatenate([row, tie_row[rank < k]]), np.concatenate([col, tie_col[rank < k]])
-            yield pa.RecordBatch.from_arrays([pa.array((q + row).astype(np.int32)), pa.array(ids[q + row]), pa.array(others[col]), pa.array(scores[row, col].astype(np.int64))], names=["q", "query_id", "id", "score"])
-
-    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
-    kept = candidates.mapInArrow(keep, "q int, query_id long, id long, score long")
-    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")
+            tie_q, tie_c = np.nonzero((scores == limit) & (scores > 0))
+            sort = np.lexsort((others[tie_c], tie_q))
+            tie_q, tie_c = tie_q[sort], tie_c[sort]
+            rank = np.arange(len(tie_q)) - np.searchsorted(tie_q, tie_q)
+            q, c = np.concatenate([q, tie_q[rank < k]]), np.concatenate([c, tie_c[rank < k]])
+            score = (scores[q, c] - HALF).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row["block"])), pa.array(q.astype(np.int32)), pa.array(ids[q]), pa.array(others[c]), pa.array(score)], names=["block", "q", "query_id", "id", "score"])
+
+    best = Window.partitionBy("block", "q").orderBy(F.col("score").desc(), "id")
+    kept = pairs().mapInArrow(keep, "block long, q int, query_id long, id long, score long")
+    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
