@@ -14,7 +14,8 @@
    there is much left to compare: this only makes the rest small.
 5. In buckets that hold several classes then, the samples of all members are
    compared, block by block, with those of the other classes; every pair that
-   agrees often enough and was not tried is verified. No link is left out.
+   agrees often enough and was not tried is verified, unless sums of weights by
+   parts of the shingles rule out that it is a link. No link is left out.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ PAIRS, TEXTS_PER_PAIR = 20_000, 8
 IDF_SPREAD = 1.0
 #: Links whose samples agree less often than this share are not looked at further: 6 standard deviations below 0.8.
 LEAST_AGREEMENT = 0.42
+#: Parts of a profile of a text, a byte each.
+PROFILE = 256
 #: Most bits (as a power of two) of the filter that keeps other texts from being read for verification.
 FILTER_BITS = 30
 
@@ -97,15 +100,24 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _by_text(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, rising, the texts that they belong to, and how often they occur there."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.argsort(text.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    h, t = hashes[at], text[at]
+    if ((h[1:] < h[:-1]) & (t[1:] == t[:-1])).any():  # hashes of a text that differ in their last bits alone
+        at = np.lexsort((hashes, text))
+        h, t = hashes[at], text[at]
+    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)])
+    return h[start], t[start], np.diff(np.append(start, len(h)))
+
+
 def _distinct(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, int]]:
     """Distinct shingles of each text, those of a chunk together, and how many texts have any."""
     for batch in batches:
         for _, texts in chunks(batch.column(0).to_pylist()):
             hashes, first = shingles(texts, words)
-            text = np.repeat(np.arange(len(texts)), np.diff(first))
-            at = np.argsort(hashes, kind="stable")  # a shingle that a text repeats stands beside itself
-            h, t = hashes[at], text[at]
-            yield h[np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]], int((np.diff(first) > 0).sum())
+            yield _by_text(hashes, first)[0], int((np.diff(first) > 0).sum())
 
 
 @dataclass(frozen=True)
@@ -211,12 +223,36 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", words: int = W
 
 def weighted(hashes: np.ndarray, first: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, rising, their weights (count times inverse document frequency), and each text's first (with the end)."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.lexsort((hashes, text))
-    h, t = hashes[at], text[at]
-    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)])
-    counts = np.diff(np.append(start, len(h))).astype(np.float32)
-    return h[start], counts * idf.of(h[start]), np.searchsorted(t[start], np.arange(len(first)))
+    distinct, text, counts = _by_text(hashes, first)
+    return distinct, counts.astype(np.float32) * idf.of(distinct), np.searchsorted(text, np.arange(len(first)))
+
+
+def profiles(distinct: np.ndarray, weights: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each text the sum of its weights, a unit, and sums of weights by ``PROFILE`` parts of the shingles, rounded up to whole units.
+
+    What two texts share is at most the sum of the lesser of their parts, which
+    bounds their similarity from above.
+    """
+    texts, text = len(first) - 1, np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = text * PROFILE + (distinct >> np.uint64(32)).astype(np.int64) % PROFILE
+    sums = np.bincount(place, weights, minlength=texts * PROFILE).reshape(texts, PROFILE)
+    unit = np.maximum(sums.max(axis=1, initial=0), 1e-30).astype(np.float32) * np.float32(1.00001 / 255)
+    parts = np.ceil(sums / unit[:, None].astype(float)).astype(np.uint8)
+    total = sums.sum(axis=1).astype("<f4")
+    return [total[i].tobytes() + unit[i].astype("<f4").tobytes() + parts[i].tobytes() for i in range(texts)]
+
+
+def may_reach(one: list[bytes], two: list[bytes], least: float, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Whether the similarity of texts with these profiles can be ``least`` or more, pair by pair, or by the pairs of indices given."""
+    heads, parts = zip(*((np.frombuffer(b"".join(p[:8] for p in some), "<f4").reshape(-1, 2).astype(float), np.frombuffer(b"".join(p[8:] for p in some), np.uint8).reshape(-1, PROFILE)) for some in (one, two)), strict=True)
+    i, j = pairs or (np.arange(len(one)), np.arange(len(two)))
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        shared = np.minimum(parts[0][x] * heads[0][x, 1:].astype(np.float32), parts[1][y] * heads[1][y, 1:].astype(np.float32)).sum(axis=1, dtype=float)
+        # shared / (all - shared) >= least, with room for rounding
+        out[at : at + len(x)] = shared * (1 + least) * 1.0001 >= least * (heads[0][x, 0] + heads[1][y, 0])
+    return out
 
 
 # ---------------------------------------------------------------- samples
@@ -296,7 +332,7 @@ def signatures(docs: DataFrame, idf: Broadcast, *, id_col: str, text_col: str, w
 
 
 def vectors(docs: DataFrame, tickets: DataFrame, idf: Broadcast, *, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``key`` and ``vec`` (weighted shingles) of the texts whose rows have the given tickets, and of a few others.
+    """``key``, ``vec`` (weighted shingles) and ``profile`` of the texts whose rows have the given tickets, and of a few others.
 
     One pass over the texts. The tickets are sent as a filter of 16 bits each, up
     to ``2**FILTER_BITS``; with more tickets it lets more of the other texts pass.
@@ -318,10 +354,10 @@ def vectors(docs: DataFrame, tickets: DataFrame, idf: Broadcast, *, id_col: str,
                 if len(some):
                     d, w, first = weighted(*shingles([texts[i] for i in some], words), idf.value)
                     vec = [d[a:b].astype("<u8").tobytes() + w[a:b].astype("<f4").tobytes() for a, b in pairwise(first)]
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(vec, pa.binary())], names=["key", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(vec, pa.binary()), pa.array(profiles(d, w, first), pa.binary())], names=["key", "vec", "profile"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    return texts.mapInArrow(make, "key binary, vec binary").groupBy("key").agg(F.first("vec").alias("vec"))
+    return texts.mapInArrow(make, "key binary, vec binary, profile binary").groupBy("key").agg(F.first("vec").alias("vec"), F.first("profile").alias("profile"))
 
 
 # ---------------------------------------------------------------- links
@@ -358,24 +394,25 @@ def proposed(buckets: DataFrame, turns: range) -> DataFrame:
     return out.distinct()
 
 
-def _agreeing(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links whose texts agree on at least that share of samples."""
-    left = texts.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"))
+def _likely(links: DataFrame, marks: DataFrame, agreement: float, least: float) -> DataFrame:
+    """Links whose texts agree on at least that share of samples, and whose profiles allow a similarity of ``least``."""
+    left, right = (marks.select(F.col("key").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("profile").alias(f"profile_{x}")) for x in ("a", "b"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-                good = (one == two).mean(axis=1) >= least
+                good = (one == two).mean(axis=1) >= agreement
+                some = np.flatnonzero(good)
+                good[some] = may_reach(*(batch.column(i).take(pa.array(some)).to_pylist() for i in (4, 5)), least) if len(some) else False
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     both = salted_join(salted_join(links, left, "a", "b"), right, "b", "a")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a binary, b binary")
+    return both.select("a", "b", "sig_a", "sig_b", "profile_a", "profile_b").mapInArrow(keep, "a binary, b binary")
 
 
-def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands: int, rows: int, least: float, block: int | None = None) -> DataFrame:
-    """All links a, b (a < b) between different classes of a bucket whose texts agree on at least that share of samples.
+def remaining(buckets: DataFrame, roots: DataFrame, marks: DataFrame, *, bands: int, rows: int, agreement: float, least: float, block: int | None = None) -> DataFrame:
+    """All links a, b (a < b) between different classes of a bucket that are likely, as ``_likely`` has it.
 
     A large bucket is dealt into blocks of about ``block`` members; a task holds
     two of them at a time. A pair comes from the first band that it shares.
@@ -386,10 +423,10 @@ def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands:
     several = _in_every_part(several.select("bucket", "parts", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     members = _salted(held).join(several, ["bucket", "salt"])
     dealt = (
-        members.join(texts.select("key", "sig"), "key")
+        members.join(marks, "key")
         .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", (F.col("mine") > F.col("other")).alias("second"), "key", "root", "sig")
+        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", (F.col("mine") > F.col("other")).alias("second"), "key", "root", "sig", "profile")
     )
 
     def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -399,7 +436,7 @@ def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands:
         second = group.column("second").to_numpy()
         if len(seen) < 2 or not alone and second.all() | ~second.any():
             return
-        keys = group.column("key").combine_chunks()
+        keys, profile = group.column("key").combine_chunks(), group.column("profile").to_pylist()
         sig = np.ascontiguousarray(np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(root), -1).T)
         ordered = np.argsort(root, kind="stable")
         left, right = (ordered, ordered) if alone else (ordered[~second[ordered]], ordered[second[ordered]])
@@ -419,8 +456,10 @@ def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands:
                     whole &= equal
                 if b < band:
                     fit &= ~whole
-            at, to = np.nonzero(fit & (same >= least * len(sig)))
+            at, to = np.nonzero(fit & (same >= agreement * len(sig)))
             if len(at):
+                good = may_reach([profile[i] for i in one], [profile[i] for i in two], least, (at, to))
+                at, to = at[good], to[good]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(one[at])), keys.take(pa.array(two[to]))], names=["x", "y"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,6 +486,7 @@ def remaining(buckets: DataFrame, roots: DataFrame, texts: DataFrame, *, bands:
 
 def verified(links: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
     """Links whose texts have a weighted Jaccard similarity of ``least`` or more, exactly."""
+    vecs = vecs.select("key", "vec")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,7 +553,8 @@ def near_duplicates(
     buckets = checkpointed(dealt.join(_in_every_part(sizes), ["bucket", "salt"]).drop("salt"))
     vecs = checkpointed(vectors(docs, buckets.select("ticket").distinct(), idf, id_col=id_col, text_col=text_col, words=words))
     exactly = lambda links: checkpointed(verified(links, vecs, least))
-    check = lambda links: exactly(checkpointed(_agreeing(links, texts, LEAST_AGREEMENT)))
+    marks = checkpointed(texts.select("key", "sig").join(vecs.select("key", "profile"), "key"))
+    check = lambda links: exactly(checkpointed(_likely(links, marks, LEAST_AGREEMENT, least)))
     tried = checkpointed(proposed(buckets, range(HUBS)))
     links = check(tried)
     roots = components(links)
@@ -537,7 +578,7 @@ def near_duplicates(
         links = checkpointed(links.unionAll(more))
         roots = components(links)
     release(spark)
-    rest = checkpointed(remaining(buckets, roots, texts, bands=bands, rows=rows, least=LEAST_AGREEMENT).join(tried, ["a", "b"], "left_anti"))
+    rest = checkpointed(remaining(buckets, roots, marks, bands=bands, rows=rows, agreement=LEAST_AGREEMENT, least=least).join(tried, ["a", "b"], "left_anti"))
     most = max(PAIRS, documents // TEXTS_PER_PAIR)
     parts = -(-rest.count() // most)
     more = None

@@ -106,6 +106,19 @@ def test_samples_agree_as_often_as_texts_are_alike():
         assert (got[0] == got[1]).mean() == pytest.approx(true, abs=4 * np.sqrt(true * (1 - true) / 250))
 
 
+def test_profiles_bound_similarities_from_above():
+    base = text(150)
+    rows = [edited(base, n) for n in (0, 1, 3, 6, 10, 20, 60)] + [text(n) for n in (1, 3, 5, 9, 40, 4000)] + ["word " * 700]
+    idf = neardup.Idf(np.unique(neardup.shingles([base])[0]), np.linspace(1, 2, 146, dtype=np.float32), 2.0)
+    found, profile = vectors_of(rows, idf), neardup.profiles(*neardup.weighted(*neardup.shingles(rows), idf))
+    close = 0
+    for i, j in itertools.product(range(len(rows)), repeat=2):
+        true = neardup._similarity(found[i], found[j])
+        assert neardup.may_reach([profile[i]], [profile[j]], true - 1e-6).all()
+        close += not neardup.may_reach([profile[i]], [profile[j]], min(1.0, true + 0.2)).any() if true < 0.8 else 0
+    assert close > 60  # and most are not far above
+
+
 def true_frequencies(texts):
     return Counter(h for t in texts if t for h in set(neardup.shingles([t])[0].tolist()))
 
