@@ -50,10 +50,11 @@ HUBS = 3
 ROUNDS, CROSSING = 1, 100
 #: Members of a bucket that are compared with as many others at once, and rows of a comparison in memory.
 BLOCK, TILE = 8192, 128
-#: Pairs verified at once, at least; with many texts, one for every ``TEXTS_PER_PAIR``.
-PAIRS, TEXTS_PER_PAIR = 20_000, 8
-#: How much a rare shingle outweighs one of all documents.
-IDF_SPREAD = 1.0
+#: Bytes of weighted shingles that the pairs verified at once hold, at least; as many as those of all texts in buckets, if that is more.
+PART_BYTES = 1 << 27
+#: How much a rare shingle outweighs one of all documents. Large groups of near copies make what they share frequent: the more
+#: that counts, the more copies fall below 0.8 of each other (README).
+IDF_SPREAD = 0.25
 #: Links whose samples agree less often than this share are not looked at further: 6 standard deviations below 0.8.
 LEAST_AGREEMENT = 0.42
 #: Parts of a profile of a text, a byte each.
@@ -412,7 +413,7 @@ def _likely(links: DataFrame, marks: DataFrame, agreement: float, least: float)
 
 
 def remaining(buckets: DataFrame, roots: DataFrame, marks: DataFrame, *, bands: int, rows: int, agreement: float, least: float, block: int | None = None) -> DataFrame:
-    """All links a, b (a < b) between different classes of a bucket that are likely, as ``_likely`` has it.
+    """All links a, b (a < b) between different classes of a bucket that are likely, as ``_likely`` has it, and the ``bytes`` of their texts' weighted shingles.
 
     A large bucket is dealt into blocks of about ``block`` members; a task holds
     two of them at a time. A pair comes from the first band that it shares.
@@ -426,7 +427,7 @@ def remaining(buckets: DataFrame, roots: DataFrame, marks: DataFrame, *, bands:
         members.join(marks, "key")
         .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", (F.col("mine") > F.col("other")).alias("second"), "key", "root", "sig", "profile")
+        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", (F.col("mine") > F.col("other")).alias("second"), "key", "root", "sig", "profile", "size")
     )
 
     def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -436,7 +437,7 @@ def remaining(buckets: DataFrame, roots: DataFrame, marks: DataFrame, *, bands:
         second = group.column("second").to_numpy()
         if len(seen) < 2 or not alone and second.all() | ~second.any():
             return
-        keys, profile = group.column("key").combine_chunks(), group.column("profile").to_pylist()
+        keys, profile, size = group.column("key").combine_chunks(), group.column("profile").to_pylist(), group.column("size").to_numpy()
         sig = np.ascontiguousarray(np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(root), -1).T)
         ordered = np.argsort(root, kind="stable")
         left, right = (ordered, ordered) if alone else (ordered[~second[ordered]], ordered[second[ordered]])
@@ -460,7 +461,7 @@ def remaining(buckets: DataFrame, roots: DataFrame, marks: DataFrame, *, bands:
             if len(at):
                 good = may_reach([profile[i] for i in one], [profile[i] for i in two], least, (at, to))
                 at, to = at[good], to[good]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(one[at])), keys.take(pa.array(two[to]))], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(one[at])), keys.take(pa.array(two[to])), pa.array(size[one[at]] + size[two[to]])], names=["x", "y", "bytes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, mark = [], None
@@ -480,8 +481,8 @@ def remaining(buckets: DataFrame, roots: DataFrame, marks: DataFrame, *, bands:
             yield from pairs(pa.Table.from_batches(group))
 
     by = ["bucket", "i", "j"]
-    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "x binary, y binary")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "x binary, y binary, bytes long")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "bytes").distinct()
 
 
 def verified(links: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
@@ -553,7 +554,7 @@ def near_duplicates(
     buckets = checkpointed(dealt.join(_in_every_part(sizes), ["bucket", "salt"]).drop("salt"))
     vecs = checkpointed(vectors(docs, buckets.select("ticket").distinct(), idf, id_col=id_col, text_col=text_col, words=words))
     exactly = lambda links: checkpointed(verified(links, vecs, least))
-    marks = checkpointed(texts.select("key", "sig").join(vecs.select("key", "profile"), "key"))
+    marks = checkpointed(texts.select("key", "sig").join(vecs.select("key", "profile", F.length("vec").cast("long").alias("size")), "key"))
     check = lambda links: exactly(checkpointed(_likely(links, marks, LEAST_AGREEMENT, least)))
     tried = checkpointed(proposed(buckets, range(HUBS)))
     links = check(tried)
@@ -579,9 +580,9 @@ def near_duplicates(
         roots = components(links)
     release(spark)
     rest = checkpointed(remaining(buckets, roots, marks, bands=bands, rows=rows, agreement=LEAST_AGREEMENT, least=least).join(tried, ["a", "b"], "left_anti"))
-    most = max(PAIRS, documents // TEXTS_PER_PAIR)
-    parts = -(-rest.count() // most)
-    more = None
+    most = max(PART_BYTES, marks.agg(F.sum("size")).first()[0] or 0)
+    parts = -(-(rest.agg(F.sum("bytes")).first()[0] or 0) // most)
+    rest, more = rest.drop("bytes"), None
     for part in range(parts):
         release(spark)
         found = exactly(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part))

@@ -184,7 +184,7 @@ def idf_of(rows):
     wanted = true_frequencies(rows)
     hashes = np.array(sorted(wanted), np.uint64)
     documents = sum(len(neardup.shingles([t])[0]) > 0 for t in rows if t)
-    return neardup.Frequencies(hashes, np.array([wanted[h] for h in hashes.tolist()]), 1, documents).idf()
+    return neardup.Frequencies(hashes, np.array([wanted[h] for h in hashes.tolist()]), 1, documents).idf(1.0)
 
 
 def weighted_similarities(rows):
@@ -198,9 +198,9 @@ def test_pairs_hidden_among_many_texts_below_the_threshold(spark, monkeypatch):
     others = [s for p, s in weighted_similarities(rows[::2]).items()]
     assert set(near) == {(i + 1, i) for i in range(0, len(rows), 2)} and max(near.values()) < 0.88 and 0.6 < min(others) < max(others) < 0.75
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    for block, pairs in ((8192, 10**6), (40, 9000)):  # in one piece, and in blocks and parts
+    for block, size in ((8192, 1 << 27), (40, 10_000)):  # in one piece, and in blocks and parts
         monkeypatch.setattr(neardup, "BLOCK", block)
-        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        monkeypatch.setattr(neardup, "PART_BYTES", size)
         got = {r.id: r.class_id for r in neardup.near_duplicates(docs).collect()}
         assert [i for i in got if got[i] != i // 2 * 2] == []
 
