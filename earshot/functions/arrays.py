@@ -128,16 +128,23 @@ def cosine(one: Column, two: Column) -> Column:
 
 
 def si_snr(estimate: Column, target: Column, floor: float = 1e-8) -> Column:
-    """Scale-invariant signal-to-noise ratio in dB, both signals centred."""
+    """Scale-invariant signal-to-noise ratio in dB, both signals centred; ``floor`` stands beside lengths, not energies."""
 
     def ratio(e: Column, t: Column) -> Column:
         scale = dot(e, t) / (energy(t) + floor)
-        return let(scale, lambda k: 10 * F.log10(k * k * energy(t) / (energy(F.zip_with(e, t, lambda x, y: x - y * k)) + floor) + floor))
+        left = lambda k: F.sqrt(energy(F.zip_with(e, t, lambda x, y: x - y * k)))
+        return let(scale, lambda k: 20 * F.log10(floor + F.abs(k) * F.sqrt(energy(t)) / (left(k) + floor)))
 
     centred = lambda s: let(mean(s), lambda m: F.transform(s, lambda x: x - m))
     return let(centred(estimate), lambda e: let(centred(target), lambda t: ratio(e, t)))
 
 
+def snr_loss(estimate: Column, target: Column, softness: float = 1e-3, floor: float = 1e-8) -> Column:
+    """Energy of the error over that of the target in dB, the error raised by ``softness`` times the target."""
+    off = energy(F.zip_with(target, estimate, lambda t, e: t - e))
+    return 10 * F.log10(off + softness * energy(target) + floor) - 10 * F.log10(energy(target) + floor)
+
+
 def snr_db(target: Column, noise: Column) -> Column:
     """Ratio of RMS levels in dB; null if either is silent."""
     return F.when((rms(target) > 0) & (rms(noise) > 0), 20 * F.log10(rms(target) / rms(noise)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Number words.
@@ -12,13 +12,14 @@ ONES = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight",
 TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 SCALES = ((10**9, "billion"), (10**6, "million"), (1000, "thousand"))
 
-PUNCTUATION = r"[.,;:!?\"()\[\]{}*#%&$|/\\-]"
-#: Marks of speech recognisers for noise and unknown words.
-NON_WORDS = r"[<\[(][^<>\[\]()]*[>\])]"
+# Symbols that are taken out, marks of speech recognisers, and what counts as a token.
+SYMBOLS = "[;!*#,.′’‘_()]"
+NON_WORDS = r"[<\[][^>\]]*[>\]]"
+TOKEN = r"[a-z]+(?:'[a-z]+)*'?|'[a-z]+|[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85]"
 
 
 def spoken(number: str) -> str:
-    """A whole or decimal number in words; anything else stays."""
+    """A whole or decimal number in words, without "and" and hyphens; anything else stays."""
     whole, point, part = number.partition(".")
     if not whole.isdigit() or (point and not part.isdigit()):
         return number
@@ -27,13 +28,13 @@ def spoken(number: str) -> str:
         if n < 20:
             return ONES[n]
         if n < 100:
-            return TENS[n // 10] + (f"-{ONES[n % 10]}" if n % 10 else "")
+            return TENS[n // 10] + (f" {ONES[n % 10]}" if n % 10 else "")
         if n < 1000:
-            return f"{ONES[n // 100]} hundred" + (f" and {say(n % 100)}" if n % 100 else "")
+            return f"{ONES[n // 100]} hundred" + (f" {say(n % 100)}" if n % 100 else "")
         for size, name in SCALES:
             if n >= size:
                 left, rest = divmod(n, size)
-                joint = " and " if 0 < rest < 100 else " "
+                joint = " " if rest < 100 else ", "
                 return f"{say(left)} {name}" + (f"{joint}{say(rest)}" if rest else "")
         raise AssertionError(n)
 
@@ -51,25 +52,32 @@ def numbers_spoken(text: Column) -> Column:
     return F.pandas_udf(_numbers_spoken, "string")(text)
 
 
-def without_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, PUNCTUATION, " ")
+def read_contractions(spark: SparkSession, path: str) -> dict[str, str]:
+    """A table of ``word,written out`` lines, in lower case; of several lines for a word the first counts, and nothing is written for a word alone."""
+    out: dict[str, str] = {}
+    for (line,) in spark.read.text(path).collect():  # a dictionary: a few hundred lines
+        word, _, written = line.strip().partition(",")
+        out.setdefault(word.strip().lower(), written.strip().lower())
+    return out
 
 
 def expanded(text: Column, contractions: dict[str, str]) -> Column:
-    """Words of a table of contractions written out; other words stay."""
-    if not contractions:
-        return text
-    table = F.create_map(*[F.lit(x) for pair in contractions.items() for x in pair])
-    words = F.split(text, " ")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(table, F.lower(w)), w)), " ")
-
-
-def normalised(text: Column, *, contractions: dict[str, str] | None = None, numbers: bool = False) -> Column:
-    """Recogniser's marks and punctuation away, contractions and numbers written out, upper case, single spaces."""
-    text = F.regexp_replace(text, NON_WORDS, " ")
-    text = numbers_spoken(text) if numbers else text
-    text = expanded(without_punctuation(text), contractions or {})
-    return F.trim(F.regexp_replace(F.upper(text), r"\s+", " "))
+    """Tokens of a text in lower case, those of a table of contractions written out. Digits and other letters than a to z are no tokens."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    if contractions:
+        table = F.create_map(*[F.lit(x) for pair in contractions.items() for x in pair])
+        tokens = F.transform(tokens, lambda w: F.coalesce(F.try_element_at(table, w), w))
+    return F.array_join(tokens, " ")
+
+
+def normalised(text: Column, *, contractions: dict[str, str] | None = None) -> Column:
+    """Symbols away, contractions written out, recognisers' marks away, upper case, single spaces, in this order.
+
+    Numbers in digits are no tokens and leave; a table whose words are written out
+    with digits can have them in words by ``numbers_spoken``.
+    """
+    text = expanded(F.regexp_replace(text, SYMBOLS, ""), contractions or {})
+    return F.trim(F.regexp_replace(F.upper(F.regexp_replace(text, NON_WORDS, "")), r"\s+", " "))
 
 
 def words(text: Column) -> Column:

@@ -14,17 +14,18 @@ from earshot.kernels.filters import butter, lfilter
 
 @dataclass
 class Compressor:
-    """Gain towards ``(rms * attenuation + (1 - attenuation) * threshold) / rms`` above the threshold, towards 1 below.
+    """A gain that moves to ``rms * attenuation + (1 - attenuation) * threshold`` above the threshold, to 1 below.
 
-    ``attack`` and ``release`` are in ms, ``rms_ms`` is the window of the level.
+    Each sample takes it the share ``1 / (time * rate)`` of the way. ``attack`` and
+    ``release`` are such times in ms, ``rms_ms`` is the window of the level.
     """
 
     rate: float
-    attack: float = 50.0
-    release: float = 1000.0
+    attack: float = 5.0
+    release: float = 20.0
     threshold: float = 1.0
     attenuation: float = 0.0001
-    rms_ms: float = 5.0
+    rms_ms: float = 200.0
     makeup: float = 1.0
 
     @property
@@ -42,14 +43,12 @@ class Compressor:
         """The compressed signal, and the gain and tail to carry on with."""
         tail = np.zeros(self.window) if tail is None else tail
         rms = self.levels(x, tail)
-        aim = np.where(rms > self.threshold, (rms * self.attenuation + (1 - self.attenuation) * self.threshold) / rms, 1.0)
-        up = np.exp(-1 / (self.attack * self.rate / 1000))
-        down = np.exp(-1 / (self.release * self.rate / 1000))
-        gains = np.empty(len(x))
         loud = rms > self.threshold
-        for i in range(len(x)):
-            keep = up if loud[i] else down
-            gain = keep * gain + (1 - keep) * aim[i]
+        aim = np.where(loud, rms * self.attenuation + (1 - self.attenuation) * self.threshold, 1.0)
+        share = np.where(loud, 1000 / (self.attack * self.rate), 1000 / (self.release * self.rate))
+        gains = np.empty(len(x))
+        for i, (keep, step) in enumerate(zip((1 - share).tolist(), (share * aim).tolist(), strict=True)):
+            gain = keep * gain + step
             gains[i] = gain
         return x * gains * self.makeup, float(gain), np.concatenate([tail, x])[-self.window :]
 

@@ -24,14 +24,14 @@ def standard_error(x: Column, y: Column) -> Column:
     return F.stddev_pop(x - y) / F.sqrt(F.count(x - y))
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation; null for fewer than two pairs or a constant."""
+def pearson(x: Column, y: Column, undefined: float | None = None) -> Column:
+    """Correlation; ``undefined`` (null) for fewer than two pairs or a constant."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     n = F.count(x)
     cov = F.covar_pop(x, y)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when((n > 1) & (spread > 0), F.try_divide(cov, spread))
+    return F.when((n > 1) & (spread > 0), F.try_divide(cov, spread)).otherwise(F.lit(undefined).cast("double"))
 
 
 def score_set(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -50,11 +50,11 @@ def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -
     return df.join(ranks, [*by, value], "left") if by else df.join(ranks, value, "left")
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Correlation of average ranks for each group; n counts whole pairs."""
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), undefined: float | None = None) -> DataFrame:
+    """Correlation of average ranks for each group, ``undefined`` where it has none; n counts whole pairs."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_ranks(average_ranks(pairs, x, "_rx", by), y, "_ry", by)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_rx"), F.col("_ry"), undefined).alias("spearman"))
 
 
 def _signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:

@@ -68,7 +68,15 @@ def si_snr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SI_SNR = f"""{_PAIRS}, c AS (SELECT vec_id, list_transform(x, lambda v: v - list_avg(x)) AS e, list_transform(y, lambda v: v - list_avg(y)) AS t FROM p WHERE y IS NOT NULL),
 k AS (SELECT vec_id, e, t, list_dot_product(t, t) AS tt, list_dot_product(e, t) / (list_dot_product(t, t) + 1e-8) AS a FROM c),
 n AS (SELECT vec_id, a * a * tt AS s, list_sum(list_transform(range(1, len(e) + 1), lambda i: pow(e[i] - t[i] * a, 2))) AS z FROM k)
-SELECT vec_id, {q6("10 * log10(s / (z + 1e-8) + 1e-8)")} AS si_snr FROM n"""
+SELECT vec_id, {q6("20 * log10(1e-8 + sqrt(s) / (sqrt(z) + 1e-8))")} AS si_snr FROM n"""
+
+
+def snr_loss_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("vec_id", r6(A.snr_loss(F.col("x"), F.col("y"))).alias("snr_loss"))
+
+
+SNR_LOSS = f"""{_PAIRS}, e AS (SELECT vec_id, list_sum(list_transform(range(1, len(x) + 1), lambda i: pow(y[i] - x[i], 2))) AS d, list_dot_product(y, y) AS t FROM p WHERE y IS NOT NULL)
+SELECT vec_id, {q6("10 * log10(d + 1e-3 * t + 1e-8) - 10 * log10(t + 1e-8)")} AS snr_loss FROM e"""
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,12 +251,22 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOWS = f"SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, {q6('sqrt(avg(value * value))')} AS rms FROM events GROUP BY 1, 2"
 
 def compressor_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as signals through the compressor; its recurrence has no form in SQL."""
+    """Vectors as signals through the compressor."""
     rows = _signals(spark, sf_dir).select("vec_id", A.scaled(F.col("x"), F.lit(4.0)).alias("x"))
     out = compressed(rows, rate=1000, attack=5, release=20, threshold=0.35, attenuation=0.1)
     return out.select("vec_id", r6(A.rms(F.col("compressed"))).alias("rms"), r6(F.col("gain")).alias("gain"))
 
 
+#: The recurrence sample by sample; all signals are shorter than the window of 200 samples.
+COMPRESSOR = f"""WITH RECURSIVE g AS (
+  SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE * 4) AS x, 0 AS i, 0.0::DOUBLE AS e, 1.0::DOUBLE AS c, 0.0::DOUBLE AS z FROM embeddings
+  UNION ALL
+  SELECT vec_id, x, i + 1, e2, c2, z + pow(x[i + 1] * c2, 2) FROM (
+    SELECT *, CASE WHEN r > 0.35 THEN c * 0.8 + (r * 0.1 + 0.9 * 0.35) * 0.2 ELSE 0.05 + c * 0.95 END AS c2 FROM (
+      SELECT *, sqrt(e2 / 200 + 1e-8) AS r FROM (SELECT *, e + x[i + 1] * x[i + 1] AS e2 FROM g WHERE i < len(x)))))
+SELECT vec_id, {q6("sqrt(z / len(x))")} AS rms, {q6("c")} AS gain FROM g WHERE i = len(x)"""
+
+
 def hearing_aid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NAL-R fit, filter, then compressor and full scale, as a baseline hearing aid does it."""
     levels = F.transform(F.slice("x", 1, 6), lambda v: F.abs(v) * 400)
@@ -259,7 +277,7 @@ def hearing_aid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (array_rms, clip_count, soft_clip, pcm16, si_snr_pairs, cosine_pairs, snr_scale_mix, stem_mix, stem_gain, standardised, peak_index, audiogram_resample, nalr_gain, camfit_gain)
+    for f in (array_rms, clip_count, soft_clip, pcm16, si_snr_pairs, snr_loss_pairs, cosine_pairs, snr_scale_mix, stem_mix, stem_gain, standardised, peak_index, audiogram_resample, nalr_gain, camfit_gain)
     + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, event_windows, compressor_gain, hearing_aid)
 }
 SQL = {
@@ -268,6 +286,8 @@ SQL = {
     "soft_clip": SOFT_CLIP,
     "pcm16": PCM16,
     "si_snr_pairs": SI_SNR,
+    "snr_loss_pairs": SNR_LOSS,
+    "compressor_gain": COMPRESSOR,
     "cosine_pairs": COSINE,
     "snr_scale_mix": SNR_MIX,
     "stem_mix": STEM_MIX,

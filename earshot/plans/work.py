@@ -183,14 +183,15 @@ def transcript_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "normal", F.size(X.words(F.col("normal"))).alias("n_words"))
 
 
-_CLEAN = r"""trim(regexp_replace(upper(replace(regexp_replace(regexp_replace(text, '[<\[(][^<>\[\]()]*[>\])]', ' ', 'g'), '[.,;:!?"()\[\]{}*#%&$|/\\-]', ' ', 'g'), 'ß', 'SS')), '\s+', ' ', 'g'))"""
+_TOKEN = X.TOKEN.replace("'", "''")
+_CLEAN = f"""trim(regexp_replace(upper(regexp_replace(array_to_string(regexp_extract_all(lower(regexp_replace(text, '{X.SYMBOLS}', '', 'g')), '{_TOKEN}'), ' '), '{X.NON_WORDS}', '', 'g')), '\\s+', ' ', 'g'))"""
 WORDS_SQL = f"SELECT conv_id, turn, n AS normal, CAST(len(list_filter(string_split(n, ' '), lambda w: w <> '')) AS INTEGER) AS n_words FROM (SELECT conv_id, turn, {_CLEAN} AS n FROM conversations)"
 
 
 def transcript_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as the transcript of the one before it; alignment has no form in SQL."""
     rows = _replies(spark, sf_dir)
-    clean = lambda c: X.words(X.normalised(F.col(c), numbers=True))
+    clean = lambda c: X.words(X.normalised(F.col(c)))
     counted = rows.select("conv_id", "turn", X.align_words(clean("before"), clean("text")).alias("c"))
     return counted.select("conv_id", "turn", "c.*", r6(X.correctness(F.col("c"))).alias("correctness"))
 

@@ -118,11 +118,30 @@ def test_alignment(r, h):
     assert hits + subs + dels == len(r) and hits + subs + ins == len(h) and min(subs, dels, ins) >= 0
 
 
-@pytest.mark.parametrize("number, words", [("0", "zero"), ("21", "twenty-one"), ("105", "one hundred and five"), ("1000", "one thousand"), ("2001", "two thousand and one"), ("3.14", "three point one four"), ("1200000", "one million two hundred thousand")])
+@pytest.mark.parametrize("number, words", [("0", "zero"), ("21", "twenty one"), ("105", "one hundred five"), ("1000", "one thousand"), ("2001", "two thousand one"), ("3.14", "three point one four"), ("1200000", "one million, two hundred thousand")])
 def test_numbers(number, words):
     assert X.spoken(number) == words
 
 
 def test_normal_form(spark):
-    text = X.normalised(F.col("x"), contractions={"don't": "do not"}, numbers=True)
-    assert one(spark, text, x="I don't <unk> like,  21 things!") == "I DO NOT LIKE TWENTY ONE THINGS"
+    text = X.normalised(F.col("x"), contractions={"don't": "do not", "i'm": "i am"})
+    assert one(spark, text, x="I don't <unk> like,  21 things!") == "I DO NOT LIKE THINGS"
+    assert one(spark, text, x="105 well-known (things) \u2019em [noise] caf\u00e9") == "WELL - KNOWN THINGS EM CAF"
+
+
+def test_contractions_of_a_file(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("Gonna,Going To\nuh\ngonna,other\n")
+    table = X.read_contractions(spark, str(path))
+    assert table == {"gonna": "going to", "uh": ""}
+    assert one(spark, X.normalised(F.col("x"), contractions=table), x="uh I'm gonna go") == "I'M GOING TO GO"
+
+
+def test_si_snr_of_equal_signals(spark):
+    import numpy as np
+
+    x = np.sin(np.arange(50.0))
+    z = x - x.mean()
+    t = (z * z).sum() * z / ((z**2).sum() + 1e-8)
+    wanted = 20 * np.log10(1e-8 + np.linalg.norm(t) / (np.linalg.norm(z - t) + 1e-8))
+    assert one(spark, A.si_snr(F.col("x"), F.col("x")), x=x.tolist()) == pytest.approx(wanted, abs=0.01)

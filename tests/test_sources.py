@@ -77,17 +77,31 @@ def test_filter_state_carries_on():
 
 
 def test_compressor():
-    unit = dynamics.Compressor(1000, threshold=0.5, attenuation=0.1, attack=1, release=1)
+    unit = dynamics.Compressor(1000, threshold=0.5, attenuation=0.1, attack=5, release=20)
     quiet, gain, _ = unit.run(np.full(200, 0.1))
     assert np.allclose(quiet, 0.1) and gain == pytest.approx(1)
-    x = np.full(500, 2.0)
+    x = np.full(900, 2.0)
     loud, gain, _ = unit.run(x)
-    assert gain == pytest.approx((2 * 0.1 + 0.9 * 0.5) / 2, abs=1e-3) and abs(loud[-1]) < 2
+    assert gain == pytest.approx(2 * 0.1 + 0.9 * 0.5, abs=1e-3) and abs(loud[-1]) < 2
     one, g, tail = unit.run(x[:123])
     two, _, _ = unit.run(x[123:], g, tail)
     assert np.allclose(np.concatenate([one, two]), loud)
 
 
+def test_compressor_meets_published_levels():
+    unit = dynamics.Compressor(44100)
+    x = np.arange(1.0, 11.0)
+    assert unit.levels(x, np.zeros(unit.window)).sum() == pytest.approx(0.9799197751960967, abs=1e-7)
+    # sample by sample, above and below a threshold
+    unit = dynamics.Compressor(44100, threshold=0.1, attenuation=0.2)
+    gain, wanted = 1.0, []
+    for rms, v in zip(unit.levels(x, np.zeros(unit.window)), x, strict=True):
+        a, r = 1 / (0.005 * 44100), 1 / (0.020 * 44100)
+        gain = gain * (1 - a) + (rms * 0.2 + 0.8 * 0.1) * a if rms > 0.1 else r + gain * (1 - r)
+        wanted.append(gain * v)
+    assert np.allclose(unit.run(x)[0], wanted)
+
+
 def test_crossover_is_all_pass():
     x = np.zeros(4096)
     x[0] = 1
