@@ -523,6 +523,7 @@ def components(links: DataFrame) -> DataFrame:
         step = checkpointed(roots.join(near, "key").select("key", "root", F.least("root", "near").alias("next")))
         if step.where("next <> root").isEmpty():
             return roots
+        release(links.sparkSession)  # rounds follow each other fast: their shuffles are not left to pile up
         jump = step.select(F.col("key").alias("next"), F.col("next").alias("beyond"))
         roots = checkpointed(salted_join(step, jump, "next", "key").select("key", F.least("next", "beyond").alias("root")))
 
@@ -556,8 +557,10 @@ def near_duplicates(
     exactly = lambda links: checkpointed(verified(links, vecs, least))
     marks = checkpointed(texts.select("key", "sig").join(vecs.select("key", "profile", F.length("vec").cast("long").alias("size")), "key"))
     check = lambda links: exactly(checkpointed(_likely(links, marks, LEAST_AGREEMENT, least)))
+    release(spark)
     tried = checkpointed(proposed(buckets, range(HUBS)))
     links = check(tried)
+    release(spark)
     roots = components(links)
     documents = exact.count()
     for turn in range(HUBS, HUBS + ROUNDS):

@@ -139,7 +139,7 @@ def test_weights_fall_with_the_logarithm_of_the_frequency():
     idf = neardup.Frequencies(hashes, np.array([10, 100, 1000, 500]), 10, 1000).idf(1.0)
     assert idf.of(np.array([1, 2, 3, 4, 5], np.uint64)) == pytest.approx([2, 1.5, 1, 1 + np.log10(2) / 2, 2])
     assert neardup.Frequencies(hashes, np.array([10, 100, 1000, 500]), 10, 1000).idf(0.0).of(hashes).tolist() == [1] * 4
-    assert neardup.Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 0).idf().of(hashes).tolist() == [2] * 4
+    assert neardup.Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 0).idf(1.0).of(hashes).tolist() == [2] * 4
 
 
 def test_no_text_has_frequencies_to_count(spark, none):
@@ -184,7 +184,7 @@ def idf_of(rows):
     wanted = true_frequencies(rows)
     hashes = np.array(sorted(wanted), np.uint64)
     documents = sum(len(neardup.shingles([t])[0]) > 0 for t in rows if t)
-    return neardup.Frequencies(hashes, np.array([wanted[h] for h in hashes.tolist()]), 1, documents).idf(1.0)
+    return neardup.Frequencies(hashes, np.array([wanted[h] for h in hashes.tolist()]), 1, documents).idf()
 
 
 def weighted_similarities(rows):
