@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from earshot.storage import checkpointed
 
-__all__ = ["checkpointed", "chunks", "crc32_of_id", "fresh_names", "hot_parts", "ragged", "release", "salted_join", "schema_with", "table", "with_columns", "with_parts"]
+__all__ = ["checkpointed", "chunks", "crc32_of_id", "fresh_names", "hot_parts", "join_by_parts", "ragged", "release", "salted_join", "schema_with", "table", "with_columns", "with_parts"]
 
 #: Characters of text that a Python worker turns into arrays at once; a longer text is taken whole.
 CHUNK_CHARS = 1 << 19
@@ -118,7 +118,11 @@ def with_parts(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
 
 def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``one`` (at most a row for each value of ``key``), the rows of hot keys dealt to several tasks by ``by``; inner or left."""
-    hot = hot_parts(rows, key)
+    return join_by_parts(rows, one, hot_parts(rows, key), key, by, how)
+
+
+def join_by_parts(rows: DataFrame, one: DataFrame, hot: DataFrame | None, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``salted_join`` where ``hot_parts`` of ``rows`` are known."""
     if hot is None:
         return rows.join(one, key, how)
     left = with_parts(rows, hot, key).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")

@@ -29,12 +29,13 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import textvec as tv
-from earshot.llm.common import checkpointed, chunks, fresh_names, hot_parts, ragged, release, salted_join, table, with_parts
+from earshot.llm.common import checkpointed, chunks, fresh_names, hot_parts, join_by_parts, ragged, release, salted_join, table, with_parts
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -52,6 +53,8 @@ ROUNDS, CROSSING = 1, 100
 BLOCK, TILE = 8192, 128
 #: Bytes of weighted shingles that the pairs verified at once hold, at least; as many as those of all texts in buckets, if that is more.
 PART_BYTES = 1 << 27
+#: Links whose components a task finds by itself before components of all are sought.
+CHUNK_LINKS = 1 << 16
 #: How much a rare shingle outweighs one of all documents. Large groups of near copies make what they share frequent: the more
 #: that counts, the more copies fall below 0.8 of each other (README).
 IDF_SPREAD = 0.25
@@ -61,6 +64,8 @@ LEAST_AGREEMENT = 0.42
 PROFILE = 256
 #: Most bits (as a power of two) of the filter that keeps other texts from being read for verification.
 FILTER_BITS = 30
+#: Tasks that put the filter's parts together, 8 MB each at most.
+FILTER_TASKS = 16
 
 
 # ---------------------------------------------------------------- shingles
@@ -342,7 +347,7 @@ def vectors(docs: DataFrame, tickets: DataFrame, idf: Broadcast, *, id_col: str,
     place = F.pmod(F.col("ticket"), F.lit(1 << bits)) + 1  # bitmaps count from 1
     parts = tickets.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     held = np.zeros((1 << bits) // 8, np.uint8)
-    for part, some in parts.toLocalIterator():  # a fixed size: 4 KB for each 2**15 bits
+    for part, some in parts.coalesce(FILTER_TASKS).toLocalIterator():  # a fixed size: 4 KB for each 2**15 bits; a job for each task
         held[(part - 1) * 4096 :][:4096] = np.frombuffer(some, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
@@ -510,17 +515,56 @@ def _similarity(one: bytes, two: bytes) -> float:
 # ---------------------------------------------------------------- classes
 
 
+def _stars(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    """For each component of the links a, b one link (a < b) from its least key to every other."""
+    names = pa.concat_arrays([a, b]).dictionary_encode()
+    keys = names.dictionary.take(pc.sort_indices(names.dictionary))  # a smaller number is a smaller key
+    at = pc.index_in(pa.concat_arrays([a, b]), keys).to_numpy().astype(np.int64)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(keys))
+    while True:
+        one, two = root[x], root[y]
+        if (one == two).all():
+            break
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root != root[root]).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(keys)))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(root[other])), keys.take(pa.array(other))], names=["a", "b"])
+
+
+def contracted(links: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Fewer links (a < b) with the same components as stored ``links``: each run of about ``chunk`` of them as stars around its components' least keys."""
+    chunk = chunk or CHUNK_LINKS
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= chunk:
+                yield _stars(*pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns)
+                held, size = [], 0
+        if size:
+            yield _stars(*pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns)
+
+    return links.select("a", "b").coalesce(max(1, -(-links.count() // chunk))).mapInArrow(stars, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and ``root`` (the least key of its component) for every end of a link.
 
-    Every key takes the least root among its own and its neighbours', then its
-    root's root, until nothing changes.
+    Runs of links become stars first. Then every key takes the least root among
+    its own and its neighbours', then its root's root, until nothing changes.
     """
-    both = checkpointed(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    fewer = checkpointed(contracted(links))
+    both = checkpointed(fewer.unionAll(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    hot = hot_parts(both, "b")
     roots = checkpointed(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("root")))
     while True:
-        near = salted_join(both, roots.withColumnRenamed("key", "b"), "b", "a").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        step = checkpointed(roots.join(near, "key").select("key", "root", F.least("root", "near").alias("next")))
+        near = join_by_parts(both, roots.withColumnRenamed("key", "b"), hot, "b", "a").select(F.col("a").alias("key"), F.col("root").alias("next"), F.lit(None).cast("binary").alias("root"))
+        every = near.unionAll(roots.select("key", F.col("root").alias("next"), "root"))
+        step = checkpointed(every.groupBy("key").agg(F.max("root").alias("root"), F.min("next").alias("next")))
         if step.where("next <> root").isEmpty():
             return roots
         release(links.sparkSession)  # rounds follow each other fast: their shuffles are not left to pile up
@@ -528,6 +572,11 @@ def components(links: DataFrame) -> DataFrame:
         roots = checkpointed(salted_join(step, jump, "next", "key").select("key", F.least("next", "beyond").alias("root")))
 
 
+def with_more(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links that ``roots`` came from and of more ``links``."""
+    return components(checkpointed(roots.where("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b")).unionAll(links.select("a", "b"))))
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, spread: float = IDF_SPREAD
 ) -> DataFrame:
@@ -559,9 +608,7 @@ def near_duplicates(
     check = lambda links: exactly(checkpointed(_likely(links, marks, LEAST_AGREEMENT, least)))
     release(spark)
     tried = checkpointed(proposed(buckets, range(HUBS)))
-    links = check(tried)
-    release(spark)
-    roots = components(links)
+    roots = components(check(tried))
     documents = exact.count()
     for turn in range(HUBS, HUBS + ROUNDS):
         release(spark)
@@ -579,8 +626,7 @@ def near_duplicates(
         tried = checkpointed(tried.unionAll(fresh))
         if more.isEmpty():
             break
-        links = checkpointed(links.unionAll(more))
-        roots = components(links)
+        roots = with_more(roots, more)
     release(spark)
     rest = checkpointed(remaining(buckets, roots, marks, bands=bands, rows=rows, agreement=LEAST_AGREEMENT, least=least).join(tried, ["a", "b"], "left_anti"))
     most = max(PART_BYTES, marks.agg(F.sum("size")).first()[0] or 0)
@@ -592,7 +638,7 @@ def near_duplicates(
         more = found if more is None else more.unionAll(found)
     if more is not None and not more.isEmpty():
         release(spark)
-        roots = components(checkpointed(links.unionAll(more)))
+        roots = with_more(roots, more)
     grouped = exact.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "id", "n")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key")))
     classes = grouped.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))

@@ -161,6 +161,24 @@ def test_components_of_a_chain(spark):
     assert {bytes(r.root) for r in neardup.components(links).collect()} == {min(keys)}
 
 
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 16])
+def test_components_of_links_in_runs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neardup, "CHUNK_LINKS", chunk)
+    own = np.random.default_rng(3)
+    ends = [sorted(own.choice(300, 2, replace=False).tolist()) for _ in range(180)] + [[300, i] for i in range(301, 340)]
+    least = list(range(340))
+    for _ in least:
+        for a, b in ends:
+            least[a] = least[b] = min(least[a], least[b])
+    key = lambda i: i.to_bytes(16, "big")
+    links = spark.createDataFrame([(key(a), key(b)) for a, b in ends], "a binary, b binary").repartition(7)
+    found = {bytes(r.key): bytes(r.root) for r in neardup.components(links).collect()}
+    assert found == {key(i): key(least[i]) for i in {x for e in ends for x in e}}
+    half = neardup.components(links.limit(0)), neardup.components(links.where("hash(a, b) % 2 = 0"))
+    assert half[0].count() == 0
+    assert found == {bytes(r.key): bytes(r.root) for r in neardup.with_more(half[1], links.where("hash(a, b) % 2 <> 0")).collect()}
+
+
 def test_rounds_take_hubs_that_the_first_pass_did_not(spark, monkeypatch):
     turns, proposed = [], neardup.proposed
     monkeypatch.setattr(neardup, "CROSSING", -1)
