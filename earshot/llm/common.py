@@ -116,12 +116,12 @@ def with_parts(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
 
-def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str | Column, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``one`` (at most a row for each value of ``key``), the rows of hot keys dealt to several tasks by ``by``; inner or left."""
     return join_by_parts(rows, one, hot_parts(rows, key), key, by, how)
 
 
-def join_by_parts(rows: DataFrame, one: DataFrame, hot: DataFrame | None, key: str, by: str, how: str = "inner") -> DataFrame:
+def join_by_parts(rows: DataFrame, one: DataFrame, hot: DataFrame | None, key: str, by: str | Column, how: str = "inner") -> DataFrame:
     """``salted_join`` where ``hot_parts`` of ``rows`` are known."""
     if hot is None:
         return rows.join(one, key, how)

@@ -12,6 +12,7 @@ from earshot.llm.quality import op6_quality
 from earshot.llm.secrets import OP2_SQL, op2_secrets
 from earshot.llm.topk import OP4_SQL, op4_topk
 from earshot.llm.toxicity import op7_toxicity
+from earshot.llm.urls import OP13_SQL, op13_urls
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_flac": op9_flac,
     "op10_packing": op10_packing,
+    "op13_urls": op13_urls,
 }
 
-SQL = {"op2_secrets": OP2_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL}
+SQL = {"op2_secrets": OP2_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op13_urls": OP13_SQL}
