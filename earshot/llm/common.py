@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from earshot.storage import checkpointed
 
-__all__ = ["checkpointed", "chunks", "crc32_of_id", "fresh_names", "hot_parts", "join_by_parts", "ragged", "release", "salted_join", "schema_with", "table", "with_columns", "with_parts"]
+__all__ = ["checkpointed", "chunks", "crc32_of_id", "fresh_names", "hot_among", "hot_parts", "join_by_parts", "ragged", "release", "salted_join", "schema_with", "table", "with_columns", "with_parts"]
 
 #: Characters of text that a Python worker turns into arrays at once; a longer text is taken whole.
 CHUNK_CHARS = 1 << 19
@@ -101,12 +101,16 @@ def hot_parts(rows: DataFrame, key: str) -> DataFrame | None:
     Rows are counted before they are shuffled. Any other key has fewer rows than
     ``HOT_ROWS``, or no more than the ``MOST_HOT``-th part of all.
     """
-    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
-    hot = heavy.orderBy(F.desc("n"), key).limit(MOST_HOT).collect()
+    return hot_among(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+
+
+def hot_among(counts: DataFrame, key: str) -> DataFrame | None:
+    """``hot_parts`` where rows are counted: ``key`` and ``n``."""
+    hot = counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(MOST_HOT).select(key, "n").collect()
     if not hot:
         return None
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.sparkSession.createDataFrame([(r[0], min(4096, -(-2 * r[1] // HOT_ROWS))) for r in hot], f"{key} {kind}, _parts int")
+    kind = counts.schema[key].dataType.simpleString()
+    return counts.sparkSession.createDataFrame([(r[0], min(4096, -(-2 * r[1] // HOT_ROWS))) for r in hot], f"{key} {kind}, _parts int")
 
 
 def with_parts(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:

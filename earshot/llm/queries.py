@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from earshot.llm.chat import OP3_SQL, op3_chat
+from earshot.llm.codes import OP11_SQL, op11_codes
 from earshot.llm.flac import op9_flac
 from earshot.llm.language import op8_language
 from earshot.llm.mixing import op1_mixing
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_flac": op9_flac,
     "op10_packing": op10_packing,
+    "op11_codes": op11_codes,
     "op13_urls": op13_urls,
 }
 
-SQL = {"op2_secrets": OP2_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op13_urls": OP13_SQL}
+SQL = {"op2_secrets": OP2_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_codes": OP11_SQL, "op13_urls": OP13_SQL}
