@@ -8,6 +8,7 @@ from earshot.llm.flac import op9_flac
 from earshot.llm.language import op8_language
 from earshot.llm.mixing import op1_mixing
 from earshot.llm.neardup import op5_neardup
+from earshot.llm.negatives import OP12_SQL, op12_negatives
 from earshot.llm.packing import op10_packing
 from earshot.llm.quality import op6_quality
 from earshot.llm.secrets import OP2_SQL, op2_secrets
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_flac": op9_flac,
     "op10_packing": op10_packing,
     "op11_codes": op11_codes,
+    "op12_negatives": op12_negatives,
     "op13_urls": op13_urls,
 }
 
-SQL = {"op2_secrets": OP2_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_codes": OP11_SQL, "op13_urls": OP13_SQL}
+SQL = {"op2_secrets": OP2_SQL, "op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op11_codes": OP11_SQL, "op12_negatives": OP12_SQL, "op13_urls": OP13_SQL}
