@@ -133,49 +133,3 @@ def band_report(df: DataFrame, value: str, scores: Sequence[str], *, low: float,
     every = spark.range(bins).select(F.col("id").cast("int").alias("band"))
     out = every.join(F.broadcast(means), "band", "left")  # one row a band
     return out.select("band", (F.lit(low) + F.col("band") * width).alias("above"), (F.lit(low) + (F.col("band") + 1) * width).alias("upto"), F.coalesce("n", F.lit(0)).alias("n"), *[f"mean_{s}" for s in scores])
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, start: tuple[float, float] = (0.5, 1.0), rounds: int = 200) -> tuple[float, float]:
-    """x0 and k of 100 / (1 + exp(-k (x - x0))) by least squares (Levenberg-Marquardt), weighted by ``n``."""
-    n = np.ones(len(x)) if n is None else np.asarray(n, float)
-    p, damp = np.array(start, float), 1e-2
-    curve = lambda p: 100 / (1 + np.exp(-np.clip(p[1] * (x - p[0]), -500, 500)))
-    cost = lambda p: float((n * (y - curve(p)) ** 2).sum())
-    now = cost(p)
-    for _ in range(rounds):
-        f = curve(p)
-        slope = f * (1 - f / 100)
-        jac = np.stack([-p[1] * slope, (x - p[0]) * slope])
-        hess, grad = np.einsum("ai,bi,i->ab", jac, jac, n), np.einsum("ai,i->a", jac, n * (y - f))
-        a, b, c, d = hess[0, 0] * (1 + damp) + 1e-12, hess[0, 1], hess[1, 0], hess[1, 1] * (1 + damp) + 1e-12
-        det = a * d - b * c
-        step = np.array([d * grad[0] - b * grad[1], a * grad[1] - c * grad[0]]) / det if det else np.zeros(2)
-        trial = cost(p + step)
-        if trial < now:
-            gain, p, now, damp = now - trial, p + step, trial, damp / 3
-            if gain <= 1e-12 * max(now, 1e-12):
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    return float(p[0]), float(p[1])
-
-
-def logistic_by(df: DataFrame, x: str, y: str, by: Sequence[str], digits: int = 4) -> DataFrame:
-    """x0 and k for each group. Pairs are counted by (x to ``digits`` places, y) first, so that a group is bounded by distinct pairs."""
-    counted = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.round(F.col(x).cast("double"), digits).alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    names = list(by)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, k = fit_logistic(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), pdf["_n"].to_numpy())
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in names}, "n": [int(pdf["_n"].sum())], "x0": [x0], "k": [k]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return counted.groupBy(*by).applyInPandas(fit, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n long, x0 double, k double"]))
-
-
-def logistic(x: Column, x0: Column, k: Column) -> Column:
-    return 100 / (1 + F.exp(-k * (x - x0)))
-
-

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.audiogram import FREQUENCIES, audiogram, severity
 from earshot.functions.arrays import doubles
-from earshot.operators import stats
+from earshot.operators import fits, stats
 from earshot.plans.common import q6, r6, table
 
 SCORES = ("rmse", "mae", "std_error", "ncc")
@@ -104,9 +104,16 @@ SELECT severity, {_score_sql("m", "p")} FROM c JOIN s USING (vec_id) GROUP BY se
 
 def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A logistic map from price to quantity for each ship flag; least squares have no form in SQL."""
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") / 100_000, 2).alias("x"), (F.col("l_quantity") * 2).alias("y"))
-    return stats.logistic_by(rows, "x", "y", ["l_returnflag"], digits=2).select("l_returnflag", "n", r6(F.col("x0")).alias("x0"), r6(F.col("k")).alias("k"))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 100_000).alias("x"), (F.col("l_quantity") * 2).alias("y"))
+    return fits.logistic_by(rows, "x", "y", ["l_returnflag"]).select("l_returnflag", "n", r6(F.col("x0")).alias("x0"), r6(F.col("k")).alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (score_summary, score_rollup, kendall_tau_b, spearman_by_group, band_report, severity_class, severity_report, logistic_fit)}
+def disjoint_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order line's quantity from its price, by a map fitted to the lines of other numbers, flags and months: as intelligibility is predicted from signals, systems and listeners not heard."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.month("l_shipdate").alias("month"), (F.col("l_extendedprice") / 100_000).alias("x"), (F.col("l_quantity") * 2).alias("y"))
+    out = fits.disjoint_predictions(rows, "x", "y", ["l_linenumber", "l_returnflag", "month"])
+    return out.select("l_orderkey", "l_linenumber", "n_train", r6(F.col("predicted")).alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (score_summary, score_rollup, kendall_tau_b, spearman_by_group, band_report, severity_class, severity_report, logistic_fit, disjoint_logistic)}
 SQL = {"score_summary": SCORE_SUMMARY, "score_rollup": SCORE_ROLLUP, "kendall_tau_b": KENDALL, "spearman_by_group": SPEARMAN, "band_report": BAND, "severity_class": SEVERITY_SQL, "severity_report": SEVERITY_REPORT}

@@ -49,13 +49,6 @@ def test_bands_are_closed_on_the_right(spark):
     assert got == {0: (1, 2.0), 1: (1, 4.0), 2: (0, None), 3: (0, None), 4: (0, None), 5: (1, 8.0)}
 
 
-def test_logistic_is_symmetric():
-    x = np.arange(5.0)
-    x0, k = stats.fit_logistic(x, np.array([0, 25, 50, 75, 100.0]))
-    curve = 100 / (1 + np.exp(-k * (x - x0)))
-    assert curve + curve[::-1] == pytest.approx(100, abs=1e-4) and k > 0
-
-
 def test_numbers_and_stripes(spark):
     rows = frame(spark, [(i * 7 % 101,) for i in range(101)], "k int")
     numbered = {r.k: r.rn for r in worklist.numbered_rows(rows, ["k"], first=1, parts=5).collect()}
