@@ -13,6 +13,7 @@ is fixed by ``capacity / unit``.
 from __future__ import annotations
 
 import os
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from earshot.llm.common import checkpointed, chunks, table
+from earshot.llm.common import checkpointed, chunks, fresh_names, table
 
 CAPACITY = 2048
 UNIT = 16
@@ -34,7 +35,7 @@ SHARD_ROWS = 500_000
 
 # ---------------------------------------------------------------- tokens
 
-#: Words and white-space-separated chunks that a worker remembers; past that it starts anew.
+#: Words, and white-space-separated chunks, of one generation that a worker remembers; it holds two.
 CACHE_WORDS = 400_000
 
 
@@ -46,46 +47,59 @@ def _encoded(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-class _Words(dict):
+class _Remembered(dict):
+    """Values by key, made when first asked for. When full, it keeps its entries as an older generation, from which those asked for again come back."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def made(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Words(_Remembered):
     """Word of the pre-tokeniser -> bytes of its ids."""
 
     def __init__(self, tokenizer, most: int):
-        super().__init__()
-        self.model, self.most = tokenizer.model, most
+        super().__init__(most)
+        self.model = tokenizer.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __missing__(self, word: str) -> bytes:
+    def made(self, word: str) -> bytes:
         mapped = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
-        ids = np.array([token.id for token in self.model.tokenize(mapped)], "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids
-        return ids
+        ids = [token.id for token in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Chunks(dict):
+class _Chunks(_Remembered):
     """Text between white space -> bytes of its ids."""
 
     def __init__(self, tokenizer, words: _Words, most: int):
         import regex
 
-        super().__init__()
-        self.tokenizer, self.words, self.most = tokenizer, words, most
+        super().__init__(most)
+        self.tokenizer, self.words = tokenizer, words
         self.added = tuple(token.content for token in tokenizer.get_added_tokens_decoder().values())
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
-    def __missing__(self, chunk: str) -> bytes:
+    def made(self, chunk: str) -> bytes:
         if max(chunk) < BEYOND and not any(token in chunk for token in self.added):
             lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            ids = b"".join(map(self.words.__getitem__, self.find(lower)))
-        else:
-            ids = _encoded(self.tokenizer, chunk)
-        if len(self) >= self.most:
-            self.clear()
-        self[chunk] = ids
-        return ids
+            return b"".join(map(self.words.__getitem__, self.find(lower)))
+        return _encoded(self.tokenizer, chunk)
 
 
 class Encoder:
@@ -272,10 +286,11 @@ def pack(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...]
     be cheap to read again (checkpointed): it is read three times.
     """
     spark, classes = rows.sparkSession, -(-capacity // unit)
-    kept = rows.columns
-    rows = rows.withColumn("_class", F.ceil(F.col(length_col) / unit).cast("int"))
+    kept = [f"`{c}`" for c in rows.columns if c not in ("sequence_id", "offset")]
+    class_, shard, in_shard, before, rank, slots_, slot_, count = fresh_names(rows, "_class", "_shard", "_in_shard", "_before", "_rank", "_slots", "_slot", "_n")
+    rows = rows.select(*kept).withColumn(class_, F.ceil(F.col(length_col) / unit).cast("int"))
     demand = np.zeros(classes, np.int64)
-    for c, n in rows.groupBy("_class").count().collect():  # a row for each class
+    for c, n in rows.groupBy(class_).count().collect():  # a row for each class
         demand[c - 1] = n
     # pieces of the last class fill a sequence: their only pattern is themselves
     alone = [(np.eye(1, classes, classes - 1, dtype=np.int64)[0], int(demand[-1]))] if demand[-1] else []
@@ -288,26 +303,26 @@ def pack(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...]
         used += times * pattern
         base += times
     # bounded by classes and patterns, not by rows
-    slots_df = F.broadcast(spark.createDataFrame(list(slots.items()), "_class int, _slots array<struct<first:long,end:long,each:long,seq:long>>"))
+    slots_df = F.broadcast(spark.createDataFrame(list(slots.items()), f"{class_} int, {slots_} array<struct<first:long,end:long,each:long,seq:long>>"))
     shards = max(64, int(demand.sum()) // shard_rows)
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(*order, F.lit(unit)), F.lit(shards)).cast("int"))
-    counts = dealt.groupBy("_class", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_class").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_class", "_shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    here = Window.partitionBy("_class", "_shard").orderBy(*order, length_col)
-    ranked = dealt.withColumn("_in_shard", F.row_number().over(here)).join(starts, ["_class", "_shard"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in_shard") - 1)
-    slot = F.filter("_slots", lambda x: (x["first"] <= F.col("_rank")) & (F.col("_rank") < x["end"]))[0]
-    placed = ranked.join(slots_df, "_class").withColumn("_slot", slot)
-    placed = placed.withColumn("sequence_id", (F.col("_slot.seq") + F.floor((F.col("_rank") - F.col("_slot.first")) / F.col("_slot.each"))).cast("long"))
-    inside = Window.partitionBy("sequence_id").orderBy(F.col("_class").desc(), "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rows.withColumn(shard, F.pmod(F.xxhash64(*order, F.lit(unit)), F.lit(shards)).cast("int"))
+    counts = dealt.groupBy(class_, shard).agg(F.count(F.lit(1)).alias(count))
+    earlier = Window.partitionBy(class_).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(class_, shard, F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(before))
+    here = Window.partitionBy(class_, shard).orderBy(*order, length_col)
+    ranked = dealt.withColumn(in_shard, F.row_number().over(here)).join(starts, [class_, shard])
+    ranked = ranked.withColumn(rank, F.col(before) + F.col(in_shard) - 1)
+    slot = F.filter(slots_, lambda x: (x["first"] <= F.col(rank)) & (F.col(rank) < x["end"]))[0]
+    placed = ranked.join(slots_df, class_).withColumn(slot_, slot)
+    placed = placed.withColumn("sequence_id", (F.col(f"{slot_}.seq") + F.floor((F.col(rank) - F.col(f"{slot_}.first")) / F.col(f"{slot_}.each"))).cast("long"))
+    inside = Window.partitionBy("sequence_id").orderBy(F.col(class_).desc(), rank).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum(length_col).over(inside), F.lit(0)).cast("long")).select(*kept, "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, *, cache_words: int = CACHE_WORDS) -> DataFrame:
     """The pieces of ``docs`` with their checksums and places."""
     cut = pieces(docs, cache_words=cache_words).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(checkpointed(cut)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(checkpointed(cut), order=("doc_id", "start", "ids_crc32", "doc_tokens")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,15 +14,33 @@ def coder():
     return packing.Encoder(packing.tokenizer_path())
 
 
+@pytest.fixture(scope="module")
+def fresh():
+    """A tokenizer of its own, which remembers nothing of the coder's."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.characters(blacklist_categories=("Cs",)), max_size=60))
-def test_ids_are_the_tokenizers(coder, text):
-    assert np.frombuffer(coder.ids(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+def test_ids_are_the_tokenizers(coder, fresh, text):
+    assert np.frombuffer(coder.ids(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
 
 
-def test_ids_of_hard_texts(coder):
+def test_ids_of_hard_texts(coder, fresh):
     for text in ("it's they'll I'D don't''s", "ΟΔΟΣ οδος Σ", "á Å ﬁ ½ ²", "x\x1cy z\x85w　v", "<|endoftext|> 123 4a5!!?", "İstanbul ẞ"):
-        assert np.frombuffer(coder.ids(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.ids(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.sampled_from(["one", "two,", "three!", "fourth", "don't", "6", "seven's"]), max_size=40))
+def test_ids_when_few_words_are_remembered(fresh, words):
+    small = packing.Encoder(packing.tokenizer_path(), cache_words=2)
+    text = " ".join(words)
+    assert np.frombuffer(small.ids(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    for held in (small.chunks, small.chunks.words):
+        assert len(held) <= 2 and len(held.older) <= 2
 
 
 def best(demand, capacity):
@@ -89,3 +107,17 @@ def test_extra_columns_stay(spark):
     out = packing.pack(rows)
     assert out.columns == ["doc_id", "start", "length", "shard", "sequence_id", "offset"]
     assert len({r.sequence_id for r in out.collect()}) == 3
+
+
+def test_columns_named_as_inner_ones_stay(spark):
+    names = ["_class", "_shard", "_in_shard", "_before", "_rank", "_slots", "_slot", "_n"]
+    rows = spark.createDataFrame([(i, 0, 100 * i + 1, *range(i, i + 8)) for i in range(20)], "doc_id long, start long, length long, " + ", ".join(f"{n} long" for n in names))
+    out = packing.pack(rows)
+    assert out.columns == [*rows.columns, "sequence_id", "offset"]
+    assert all(tuple(r[n] for n in names) == tuple(range(r.doc_id, r.doc_id + 8)) for r in out.collect())
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    docs = spark.createDataFrame([(None, "a b c " * i) for i in range(1, 60)] + [(3, "x y z " * i) for i in range(1, 60)], "doc_id long, text string")
+    once, again = (sorted(map(str, packing.packed_documents(d).collect())) for d in (docs.repartition(5), docs.repartition(2)))
+    assert once == again
