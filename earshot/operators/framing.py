@@ -2,29 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
+from earshot.columns import fresh_names, same_keys
 from earshot.functions.arrays import energy, frames
+from earshot.storage import checkpointed
+
+
+#: Rows of one signal that a task takes. A longer one is cut into blocks of as many, each with the rows before it that its windows reach.
+LONGEST = 1 << 20
+
+
+def _is_long(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether any signal has more than ``LONGEST`` rows; rows are counted before they are shuffled."""
+    most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > LONGEST
+
+
+def _numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Rows numbered from 0 within their signal, by ranges of signals and order: no task holds a signal.
+
+    The ranges come from a sample, so the partitioned rows are stored before they
+    are counted. A signal goes on from a range into the next, so a range has one
+    signal at most that began before it.
+    """
+    part, before, here, *names = fresh_names(df, "_part", "_before", "_here", *(f"_of_{c}" for c in by))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(parts, *by, *order).withColumn(part, F.spark_partition_id()))
+    counts = ranged.groupBy(*by, F.col(part).alias(here)).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*by).orderBy(here).rowsBetween(Window.unboundedPreceding, -1))
+    begun = counts.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], here, earlier.alias(before)).where(F.col(before) > 0)
+    within = F.row_number().over(Window.partitionBy(part, *by).orderBy(*order)) - 1
+    numbered = ranged.withColumn(out, within)
+    match = same_keys(numbered, begun, [(part, here), *zip(by, names, strict=True)])
+    joined = numbered.join(F.broadcast(begun), match, "left")  # a row for each range
+    return joined.withColumn(out, (F.col(out) + F.coalesce(before, F.lit(0))).cast("long")).drop(part, here, before, *names)
+
+
+def over_last(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, make: Callable[[WindowSpec], Column], out: str) -> DataFrame:
+    """``out``: what ``make`` says of a window of each signal in the order of columns that identify a row; it looks back ``n`` rows at most.
+
+    A signal of more than ``LONGEST`` rows is cut into blocks; the last ``n`` rows
+    of a block are copied to the next, so that windows stay within a block.
+    """
+    if not _is_long(df, by):
+        return df.withColumn(out, make(Window.partitionBy(*by).orderBy(*order)))
+    kept, (at, block, own) = [c for c in df.columns if c != out], fresh_names(df, "_at", "_block", "_own")
+    size = max(LONGEST, n)
+    home = F.floor(F.col(at) / size)
+    both = F.when(F.col(at) % size >= size - n, F.array(home, home + 1)).otherwise(F.array(home)) if n else F.array(home)
+    rows = _numbered(df, by, order, at)
+    rows = rows.withColumn(block, F.explode(both)).withColumn(own, F.col(block) == home)
+    return rows.withColumn(out, make(Window.partitionBy(*by, block).orderBy(at))).where(own).select(*kept, out)
 
 
 def moving_rms(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int, out: str = "moving_rms", floor: float = 1e-8) -> DataFrame:
     """RMS over the last ``n`` samples, those before the first counting as zeros, plus a floor under the root."""
-    last = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
     x = F.coalesce(F.col(value), F.lit(0.0))
-    return df.withColumn(out, F.sqrt(F.sum(x * x).over(last) / n + floor))
+    return over_last(df, by, order, n - 1, lambda w: F.sqrt(F.sum(x * x).over(w.rowsBetween(-(n - 1), 0)) / n + floor), out)
 
 
-def shifted(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int, out: str) -> DataFrame:
-    """The value ``n`` samples before, 0 where there is none."""
-    return df.withColumn(out, F.lag(value, n, 0.0).over(Window.partitionBy(*by).orderBy(*order)))
+def shifted(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int, out: str, default: float | None = 0.0) -> DataFrame:
+    """The value ``n`` samples before, ``default`` where there is none."""
+    return over_last(df, by, order, n, lambda w: F.lag(value, n, default).over(w), out)
 
 
 def sample_index(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "i") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """Samples numbered from 0 within their signal."""
+    if _is_long(df, by):
+        return _numbered(df, by, order, out)
+    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 
 def segment_smooth(df: DataFrame, by: Sequence[str], index: str, value: str, length: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.columns import fresh_names, same_keys
 from earshot.functions.levels import keyed_number
 
 
@@ -23,10 +24,12 @@ def merged(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def equalised(df: DataFrame, by: Sequence[str], level: Column, signal: str, out: str) -> DataFrame:
-    """Signals raised to the greatest ``level`` of their group; a silent one stays."""
-    tops = df.groupBy(*by).agg(F.max(level).alias("_top"))
-    gain = F.when(level > 0, F.col("_top") / level).otherwise(F.lit(1.0))
-    return df.join(tops, list(by)).withColumn("_gain", gain).withColumn(out, F.transform(signal, lambda v: v * F.col("_gain"))).drop("_top", "_gain")
+    """Signals raised to the greatest ``level`` of their group, rows of a null group by theirs; a silent one stays."""
+    top, gain, *names = fresh_names(df, "_top", "_gain", *(f"_of_{c}" for c in by))
+    tops = df.groupBy(*by).agg(F.max(level).alias(top)).withColumnsRenamed(dict(zip(by, names, strict=True)))
+    raised = F.when(level > 0, F.col(top) / level).otherwise(F.lit(1.0))
+    joined = df.join(tops, same_keys(df, tops, list(zip(by, names, strict=True)))).withColumn(gain, raised)
+    return joined.withColumn(out, F.transform(signal, lambda v: v * F.col(gain))).drop(top, gain, *names)
 
 
 def drawn(numbered: DataFrame, count: int, draws: int, seed: int, number: str = "n") -> DataFrame:

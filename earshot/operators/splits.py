@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from earshot.columns import fresh_names
 from earshot.functions.keys import seeded_order
 from earshot.operators.worklist import numbered_rows
 from earshot.storage import checkpointed
@@ -18,15 +19,17 @@ def sample_per_group(df: DataFrame, by: Sequence[str], key: str, k: int, seed: i
 
     Spark keeps only ``k`` rows a group and task before the shuffle.
     """
-    drawn = Window.partitionBy(*by).orderBy("_draw", key)
-    return df.withColumn("_draw", seeded_order(seed, F.col(key))).withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= k).drop("_draw")
+    (draw,) = fresh_names(df, "_draw")
+    drawn = Window.partitionBy(*by).orderBy(draw, key)
+    return df.withColumn(draw, seeded_order(seed, F.col(key))).withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= k).drop(draw)
 
 
 def hold_out(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """``df`` with ``held_out``: true for the floor of ``share`` of the distinct keys, drawn by seed."""
-    keys = df.select(key).distinct().withColumn("_draw", seeded_order(seed, F.col(key)))
+    draw, number = fresh_names(df.select(key), "_draw", "_rn")
+    keys = df.select(key).distinct().withColumn(draw, seeded_order(seed, F.col(key)))
     n = keys.count()
-    drawn = numbered_rows(keys, ["_draw", key], "_rn").select(key, (F.col("_rn") < int(n * share)).alias("held_out"))
+    drawn = numbered_rows(keys, [draw, key], number).select(key, (F.col(number) < int(n * share)).alias("held_out"))
     return df.join(drawn, key)
 
 
@@ -35,11 +38,12 @@ def prompt_split(df: DataFrame, group: str, target: int, seed: int) -> DataFrame
 
     The running sum goes over groups in ranges of their order, like row numbers.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_draw", seeded_order(seed, F.col(group)))
+    draw, part, earlier = fresh_names(df.select(group), "_draw", "_part", "_before")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn(draw, seeded_order(seed, F.col(group)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpointed(sizes.repartitionByRange(parts, "_draw", group).withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy("_part").agg(F.sum("n").alias("_n"))
-    before = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    here = Window.partitionBy("_part").orderBy("_draw", group).rowsBetween(Window.unboundedPreceding, -1)
-    reached = ranged.join(F.broadcast(before), "_part").withColumn("before", F.col("_before") + F.coalesce(F.sum("n").over(here), F.lit(0)))
+    ranged = checkpointed(sizes.repartitionByRange(parts, draw, group).withColumn(part, F.spark_partition_id()))
+    totals = ranged.groupBy(part).agg(F.sum("n").alias("total"))
+    starts = totals.select(part, F.coalesce(F.sum("total").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(earlier))
+    here = Window.partitionBy(part).orderBy(draw, group).rowsBetween(Window.unboundedPreceding, -1)
+    reached = ranged.join(F.broadcast(starts), part).withColumn("before", F.col(earlier) + F.coalesce(F.sum("n").over(here), F.lit(0)))
     return reached.select(group, "n", F.col("before").cast("long").alias("before"), F.when(F.col("before") < target, "train").otherwise("valid").alias("split"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from earshot.columns import fresh_names
 from earshot.storage import checkpointed
 
 
@@ -18,24 +19,26 @@ def numbered_rows(df: DataFrame, order: Sequence[str], out: str = "rn", *, first
     range begins where the ones before it end. No task holds all rows. The ranges
     come from a sample, so the partitioned rows are stored before they are counted.
     """
-    spark = df.sparkSession
+    spark, (part, before) = df.sparkSession, fresh_names(df, "_part", "_before")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").count()  # a row for each range
-    before = counts.select("_part", (F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    here = Window.partitionBy("_part").orderBy(*order)
-    return ranged.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.row_number().over(here) - 1 + first).cast("long")).drop("_part", "_before")
+    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    starts = counts.select(part, (F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias(before))
+    here = Window.partitionBy(part).orderBy(*order)
+    return ranged.join(F.broadcast(starts), part).withColumn(out, (F.col(before) + F.row_number().over(here) - 1 + first).cast("long")).drop(part, before)
 
 
 def stripe(df: DataFrame, order: Sequence[str], batch: int, batches: int, *, first: int = 0) -> DataFrame:
     """Every ``batches``-th row, beginning with number ``batch`` (counted from ``first``)."""
-    return numbered_rows(df, order, "_rn").where(F.col("_rn") % batches == batch - first).drop("_rn")
+    (number,) = fresh_names(df, "_rn")
+    return numbered_rows(df, order, number).where(F.col(number) % batches == batch - first).drop(number)
 
 
 def sliced(df: DataFrame, order: Sequence[str], offset: int, limit: int = 0) -> DataFrame:
     """Rows from ``offset`` on, ``limit`` of them; 0 means the rest."""
-    rows = numbered_rows(df, order, "_rn").where(F.col("_rn") >= offset)
-    return (rows.where(F.col("_rn") < offset + limit) if limit else rows).drop("_rn")
+    (number,) = fresh_names(df, "_rn")
+    rows = numbered_rows(df, order, number).where(F.col(number) >= offset)
+    return (rows.where(F.col(number) < offset + limit) if limit else rows).drop(number)
 
 
 def pending(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -197,7 +197,7 @@ def equalised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", r6(A.rms(F.col("y"))).alias("rms"))
 
 
-EQUALISED = f"SELECT vec_id, {q6('max(r) OVER (PARTITION BY label)')} AS rms FROM (SELECT vec_id, label, {_RMS} AS r FROM embeddings WHERE label IS NOT NULL)"
+EQUALISED = f"SELECT vec_id, {q6('max(r) OVER (PARTITION BY label)')} AS rms FROM (SELECT vec_id, label, {_RMS} AS r FROM embeddings)"
 
 
 def matched_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from earshot.functions import arrays as A
 from earshot.functions.audiogram import CAMFIT_BANDS, FREQUENCIES, NALR_FREQUENCIES, audiogram, camfit_gains, camfit_intercepts, limited_gains, nalr_gains, resampled
@@ -54,8 +53,7 @@ PCM16 = f"SELECT vec_id, array_to_string(list_transform({_E}, lambda x: CAST(tru
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each signal with the one before it of its label."""
-    before = Window.partitionBy("label").orderBy("vec_id")
-    return _signals(spark, sf_dir).select("vec_id", "x", F.lag("x").over(before).alias("y")).where("y is not null")
+    return framing.shifted(_signals(spark, sf_dir), ["label"], ["vec_id"], "x", 1, "y", default=None).select("vec_id", "x", "y").where("y is not null")
 
 
 _PAIRS = f"WITH p AS (SELECT vec_id, {_E} AS x, lag({_E}) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings)"

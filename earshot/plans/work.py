@@ -162,7 +162,7 @@ BETTER = f"SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) AS score
 def key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("url", "/")
     return table(spark, sf_dir, "pages").select(
-        "page_id", F.get(parts, 2).alias("host"), F.get(parts, F.size(parts) - 2).alias("folder"), F.array_join(F.slice(parts, 4, 100), "_").alias("rest"), F.regexp_extract("url", r"\d+", 0).alias("number")
+        "page_id", F.get(parts, 2).alias("host"), F.get(parts, F.size(parts) - 2).alias("folder"), F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), "_").alias("rest"), F.regexp_extract("url", r"\d+", 0).alias("number")
     )
 
 
