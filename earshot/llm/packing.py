@@ -77,11 +77,12 @@ class _Words(_Remembered):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.packed = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
 
     def made(self, word: str) -> bytes:
-        mapped = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
-        ids = [token.id for token in self.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        # a letter for each byte; those of ASCII letters are themselves
+        mapped = word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[token.id] for token in self.model.tokenize(mapped)])
 
 
 class _Chunks(_Remembered):
@@ -92,14 +93,18 @@ class _Chunks(_Remembered):
 
         super().__init__(most)
         self.tokenizer, self.words = tokenizer, words
-        self.added = tuple(token.content for token in tokenizer.get_added_tokens_decoder().values())
+        added = [regex.escape(token.content) for token in tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(added) or r"(?!)").search
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def made(self, chunk: str) -> bytes:
-        if max(chunk) < BEYOND and not any(token in chunk for token in self.added):
-            lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            return b"".join(map(self.words.__getitem__, self.find(lower)))
-        return _encoded(self.tokenizer, chunk)
+        plain = chunk.isascii()
+        if not (plain or max(chunk) < BEYOND) or self.added(chunk):
+            return _encoded(self.tokenizer, chunk)
+        lower = chunk.lower() if plain else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        if lower.isalpha():
+            return self.words[lower]
+        return b"".join(map(self.words.__getitem__, self.find(lower)))
 
 
 class Encoder:
