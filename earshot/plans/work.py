@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from earshot.functions import text as X
 from earshot.functions.keys import md5_seed, seeded_order, split_of
-from earshot.operators import splits, worklist
+from earshot.operators import framing, splits, transcripts, worklist
 from earshot.plans.common import q6, r6, table
 
 
@@ -171,9 +170,8 @@ KEY_PARSE = r"""SELECT page_id, string_split(url, '/')[3] AS host, string_split(
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the one before it in its conversation."""
-    talk = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(talk).alias("before"))
-    return turns.where("before is not null")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return framing.shifted(turns, ["conv_id"], ["turn", "role", "text"], "text", 1, "before", default=None).where("before is not null")
 
 
 def transcript_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,17 +187,66 @@ WORDS_SQL = f"SELECT conv_id, turn, n AS normal, CAST(len(list_filter(string_spl
 
 
 def transcript_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as the transcript of the one before it; alignment has no form in SQL."""
-    rows = _replies(spark, sf_dir)
-    clean = lambda c: X.words(X.normalised(F.col(c)))
-    counted = rows.select("conv_id", "turn", X.align_words(clean("before"), clean("text")).alias("c"))
-    return counted.select("conv_id", "turn", "c.*", r6(X.correctness(F.col("c"))).alias("correctness"))
+    """Each turn as the transcript of the one before it."""
+    out = transcripts.scored(_replies(spark, sf_dir), "before", "text")
+    counts = [f"score.{c}" for c in ("hits", "substitutions", "deletions", "insertions")]
+    return out.select("conv_id", "turn", *counts, r6(F.col("score.correctness")).alias("correctness"))
+
+
+def _aligned_sql(pairs: str) -> str:
+    """``counts`` of the rows of ``pairs`` (k, r, h: lists of words), a step for each diagonal of their table of costs: ``d`` is the last one by places in r, ``e`` the one before."""
+    return f"""g AS (
+  SELECT k, r, h, CAST(len(r) + len(h) + 1 AS BIGINT) AS unit, CAST(0 AS BIGINT) AS s, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN i = 0 THEN 0::BIGINT END) AS d, [NULL::BIGINT] AS e FROM {pairs}
+  UNION ALL
+  SELECT k, r, h, unit, s + 1, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > len(h) THEN NULL WHEN i = 0 OR i = s + 1 THEN (s + 1) * unit
+    ELSE least(d[i + 1] + unit, d[i] + unit, e[i] + CASE WHEN r[i] = h[s + 1 - i] THEN -1 ELSE unit END) END), d
+  FROM g WHERE s < len(r) + len(h)
+), c AS (
+  SELECT k, len(r) AS nr, len(h) AS nh, CAST(ceil(d[-1] / unit) AS BIGINT) AS cost, CAST(ceil(d[-1] / unit) AS BIGINT) * unit - d[-1] AS hits FROM g WHERE s = len(r) + len(h)
+), counts AS (SELECT k, CAST(hits AS INTEGER) AS hits, CAST(nr + nh - 2 * hits - cost AS INTEGER) AS substitutions, CAST(cost - nh + hits AS INTEGER) AS deletions, CAST(cost - nr + hits AS INTEGER) AS insertions, nr FROM c)"""
+
+
+def _words_sql(text: str, tokens: str = "{}") -> str:
+    """Normalised words of a text; ``tokens`` is put around the list of tokens."""
+    found = tokens.format(f"regexp_extract_all(lower(regexp_replace({text}, '{X.SYMBOLS}', '', 'g')), '{_TOKEN}')")
+    return f"list_filter(string_split(trim(regexp_replace(upper(regexp_replace(array_to_string({found}, ' '), '{X.NON_WORDS}', '', 'g')), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+_BEFORE = "SELECT conv_id, turn, text, lag(text) OVER w AS before, lag(text, 2) OVER w AS earlier FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)"
+HITS = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER () AS k, conv_id, turn, {_words_sql("before")} AS r, {_words_sql("coalesce(text, '')")} AS h FROM ({_BEFORE}) WHERE before IS NOT NULL),
+{_aligned_sql("p")}
+SELECT conv_id, turn, hits, substitutions, deletions, insertions, {q6("CASE WHEN nr > 0 THEN hits / nr END")} AS correctness FROM counts JOIN p USING (k)"""
+
+#: A small table of contractions for the query; one is written out with a number.
+WRITTEN = {"the": "th'", "and": "and then", "for": "4", "of": ""}
+
+
+def transcript_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn, whole or up to its first full stop, as the transcript of either of the two turns before it; contractions written out."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    order = ["turn", "role", "text"]
+    rows = framing.shifted(turns, ["conv_id"], order, "text", 1, "before", default=None)
+    rows = framing.shifted(rows, ["conv_id"], order, "text", 2, "earlier", default=None).where("before is not null")
+    said = F.array_compact(F.array("before", "earlier"))
+    heard = F.array_compact(F.array("text", F.substring_index("text", ".", 1)))
+    out = transcripts.scored(rows.withColumns({"said": said, "heard": heard}), "said", "heard", contractions=WRITTEN)
+    return out.select("conv_id", "turn", "score.*").withColumn("correctness", r6(F.col("correctness")))
+
+
+_WRITTEN = "list_transform({}, lambda w: CASE w " + " ".join(f"WHEN '{k}' THEN '{X.with_numbers_spoken(v).replace(chr(39), chr(39) * 2)}'" for k, v in WRITTEN.items()) + " ELSE w END)"
+ALTERNATIVES = f"""WITH RECURSIVE a AS (SELECT row_number() OVER () AS id, *, CASE WHEN earlier IS NULL THEN [before] ELSE [before, earlier] END AS said, CASE WHEN text IS NULL THEN [] ELSE [text, split_part(text, '.', 1)] END AS heard FROM ({_BEFORE}) WHERE before IS NOT NULL),
+f AS (SELECT id, conv_id, turn, unnest(said) AS s, generate_subscripts(said, 1) - 1 AS reference, heard FROM a),
+p AS MATERIALIZED (SELECT row_number() OVER () AS k, id, conv_id, turn, reference, hypothesis, {_words_sql("s", _WRITTEN)} AS r, {_words_sql("t", _WRITTEN)} AS h FROM (SELECT * EXCLUDE (heard), unnest(heard) AS t, generate_subscripts(heard, 1) - 1 AS hypothesis FROM f)),
+{_aligned_sql("p")},
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, hypothesis, reference) AS n FROM counts JOIN p USING (k))
+SELECT conv_id, turn, hits, substitutions, deletions, insertions, CAST(reference AS INTEGER) AS reference, CAST(hypothesis AS INTEGER) AS hypothesis, {q6("CASE WHEN nr > 0 THEN hits / nr END")} AS correctness FROM best WHERE n = 1
+UNION ALL SELECT conv_id, turn, 0, 0, 0, 0, NULL, NULL, NULL FROM a WHERE text IS NULL"""
 
 
 QUERIES = {
     f.__name__: f
     for f in (work_list_batch, slice_limit, md5_seeds, missing_pairs, pair_set_check, disjoint_train_counts, seeded_shuffle_topk, prompt_split, hold_out)
-    + (scene_cycle_join, range_candidate_pick, ear_unpivot, channel_pivot, better_ear, key_parse, transcript_words, transcript_hits)
+    + (scene_cycle_join, range_candidate_pick, ear_unpivot, channel_pivot, better_ear, key_parse, transcript_words, transcript_hits, transcript_alternatives)
 }
 SQL = {
     "work_list_batch": WORK,
@@ -218,4 +265,6 @@ SQL = {
     "better_ear": BETTER,
     "key_parse": KEY_PARSE,
     "transcript_words": WORDS_SQL,
+    "transcript_hits": HITS,
+    "transcript_alternatives": ALTERNATIVES,
 }
