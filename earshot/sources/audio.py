@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,41 +14,68 @@ from pyspark.sql import DataFrame, SparkSession
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
-def decode_wav(data: bytes, offset: int = 0, n_samples: int | None = None) -> tuple[int, np.ndarray]:
-    """Sample rate and samples (samples x channels, -1 to 1) of 16-, 24- or 32-bit PCM or float WAV; a seek past the end is an error."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+class WavFormat(NamedTuple):
+    kind: int
+    channels: int
+    rate: int
+    width: int  # bits of a sample
+    start: int  # byte of the first sample
+    samples: int  # of a channel
+
+    @property
+    def step(self) -> int:
+        return self.channels * self.width // 8
+
+
+def wav_format(read: Callable[[int, int], bytes], size: int) -> WavFormat:
+    """The format of a WAV file of ``size`` bytes, of which ``read`` gives so many from a place on; samples themselves are not read."""
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, kind, channels, rate, width, body = 12, 0, 0, 0, 0, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+    at, found, body = 12, (0, 0, 0, 0), None
+    while at + 8 <= size:
+        name, length = struct.unpack("<4sI", read(at, 8))
         if name == b"fmt ":
-            kind, channels, rate, _, _, width = struct.unpack_from("<HHIIHH", data, at + 8)
-            kind = struct.unpack_from("<H", data, at + 32)[0] if kind == EXTENSIBLE else kind
+            chunk = read(at + 8, min(length, 40))
+            if len(chunk) < 16:
+                raise ValueError("WAV format chunk too short")
+            kind, channels, rate, _, _, width = struct.unpack_from("<HHIIHH", chunk)
+            found = struct.unpack_from("<H", chunk, 24)[0] if kind == EXTENSIBLE and len(chunk) >= 26 else kind, channels, rate, width
         elif name == b"data":
-            body = data[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
+            body = at + 8, min(length, size - at - 8)
+        at += 8 + length + length % 2
+    kind, channels, rate, width = found
     if body is None or not channels:
         raise ValueError("WAV file without format or data")
-    total = len(body) // (channels * width // 8)
-    if offset > total:
-        raise ValueError(f"offset {offset} beyond {total} samples")
-    step = channels * width // 8
-    body = body[offset * step : total * step if n_samples is None else (offset + n_samples) * step]
-    if kind == FLOAT:
-        samples = np.frombuffer(body, f"<f{width // 8}").astype(float)
-    elif kind == PCM and width in (16, 32):
-        samples = np.frombuffer(body, f"<i{width // 8}") / float(1 << (width - 1))
-    elif kind == PCM and width == 24:
+    if (kind, width) not in ((PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)):
+        raise ValueError(f"WAV format {kind} of {width} bits")
+    return WavFormat(kind, channels, rate, width, body[0], body[1] // (channels * width // 8))
+
+
+def samples_of(form: WavFormat, body: bytes) -> np.ndarray:
+    """Samples x channels, -1 to 1, of stored ones."""
+    if form.kind == FLOAT:
+        samples = np.frombuffer(body, f"<f{form.width // 8}").astype(float)
+    elif form.width == 24:
         raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
         samples = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8) / float(1 << 23)
     else:
-        raise ValueError(f"WAV format {kind} of {width} bits")
-    return rate, samples.reshape(-1, channels)
+        samples = np.frombuffer(body, f"<i{form.width // 8}") / float(1 << (form.width - 1))
+    return samples.reshape(-1, form.channels)
+
+
+def decode_wav(data: bytes, offset: int = 0, n_samples: int | None = None) -> tuple[int, np.ndarray]:
+    """Sample rate and samples (samples x channels, -1 to 1) of 16-, 24- or 32-bit PCM or float WAV; a seek past the end is an error."""
+    form = wav_format(lambda at, n: data[at : at + n], len(data))
+    if offset > form.samples:
+        raise ValueError(f"offset {offset} beyond {form.samples} samples")
+    last = form.samples if n_samples is None else min(offset + n_samples, form.samples)
+    return form.rate, samples_of(form, data[form.start + offset * form.step : form.start + last * form.step])
 
 
 def encode_wav(rate: int, samples: np.ndarray, *, floating: bool = True, strict: bool = False) -> bytes:
     """A WAV file of 32-bit floats or 16-bit PCM; PCM beyond full scale is clipped, or an error if ``strict``."""
-    samples = samples.reshape(len(samples), -1)
+    samples = samples if samples.ndim == 2 else samples[:, None]
     if floating:
         body, kind, width = samples.astype("<f4").tobytes(), FLOAT, 32
     else:
