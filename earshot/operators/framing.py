@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from earshot.columns import fresh_names, same_keys
+from earshot.functions import gating
 from earshot.functions.arrays import energy, frames
 from earshot.storage import checkpointed
 
@@ -94,16 +95,38 @@ def segment_smooth(df: DataFrame, by: Sequence[str], index: str, value: str, len
     return out.where("_w > 0").select(*by, F.col("segment").cast("long"), (F.col("_s") / F.col("_w")).alias("smooth"))
 
 
-def gated_level(df: DataFrame, by: Sequence[str], value: str, *, absolute: float, relative: float) -> DataFrame:
-    """Mean energy in two passes: values whose energy is above ``absolute``, then those above ``relative`` of their mean.
+def gated_levels(df: DataFrame, by: Sequence[str], index: str, value: str, *, window: int, relative_db: float, share: float | None = None) -> DataFrame:
+    """``gating.gated`` of signals in long form: keys, n, rms, threshold_db, relative_db and active.
 
-    Columns: keys, ``n`` (values of the second pass), ``level`` (10 log10 of their mean energy; null if none).
+    Samples are summed by window, windows are counted by level; a signal's
+    threshold is sought in its histogram, and no task holds its windows. Null
+    samples are 0. A window counts if none of its samples is missing.
     """
-    e = F.col(value) * F.col(value)
-    first = df.select(*by, e.alias("_e"))
-    gate = first.where(F.col("_e") > absolute).groupBy(*by).agg((F.avg("_e") * relative).alias("_gate"))
-    kept = first.join(gate, list(by)).where((F.col("_e") > absolute) & (F.col("_e") > F.col("_gate")))
-    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (10 * F.log10(F.avg("_e"))).alias("level"))
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    sums = df.groupBy(*by, F.floor(F.col(index) / window).alias("_w")).agg(F.count(F.lit(1)).alias("_n"), F.sum(x * x).alias("_e"))
+    windows = checkpointed(sums)
+    names = [f"_of_{c}" for c in by]
+
+    def meet(rows: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+        other = one.withColumnsRenamed(dict(zip(by, names, strict=True)))
+        return rows.join(other, same_keys(rows, other, list(zip(by, names, strict=True))), how).drop(*names)
+
+    signals = windows.groupBy(*by).agg(F.sum("_n").alias("n"), gating.first_threshold(F.sum("_e") / F.sum("_n"), relative_db).alias("_t"))
+    whole = meet(windows.where(F.col("_n") == window).drop("_n"), signals.select(*by, "_t"))
+    loud = whole.select(*by, "_e", "_t", gating.window_db(F.col("_e") / window, F.col("_t")).alias("_db"))
+    if share is not None:
+        ends = loud.groupBy(*by).agg(F.min("_db").alias("_low"), F.max("_db").alias("_high"), F.floor(F.lit(100 - share) * F.count(F.lit(1)) / 100).alias("_out"))
+        placed = meet(loud, ends).withColumn("_bin", gating.bin_of(F.col("_db"), F.col("_low"), F.col("_high")))
+        upto = F.sum("_m").over(Window.partitionBy(*by).orderBy("_bin"))
+        counts = placed.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_m"), F.first("_low").alias("_low"), F.first("_high").alias("_high"), F.first("_out").alias("_out")).withColumn("_upto", upto)
+        reached = counts.where((F.col("_upto") > F.col("_out")) | (F.col("_bin") == gating.BINS - 1)).groupBy(*by).agg(F.min("_bin").alias("_bin"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+        at = reached.select(*by, gating.share_threshold(F.col("_low"), F.col("_high"), F.col("_bin")).alias("_at"))
+        loud = meet(loud, at).drop("_t").withColumnRenamed("_at", "_t")
+    found = loud.groupBy(*by).agg(F.first("_t").alias("threshold_db"), F.count(F.when(F.col("_db") >= F.col("_t"), 1)).alias("_k"), F.sum(F.when(F.col("_db") >= F.col("_t"), F.col("_e"))).alias("_s"))
+    joined = meet(signals, found, "left")  # a signal without a whole window has a row too
+    rms = F.when(F.col("_k") > 0, F.sqrt(F.col("_s") / (F.col("_k") * window)))
+    threshold = F.coalesce("threshold_db", "_t")
+    return joined.select(*by, "n", rms.alias("rms"), threshold.alias("threshold_db"), (threshold - 20 * F.log10(rms)).alias("relative_db"), (F.lit(100.0) * window * F.coalesce("_k", F.lit(0)) / F.col("n")).alias("active"))
 
 
 def voiced_frames(df: DataFrame, key: str, signal: str, *, window: int, hop: int, range_db: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import arrays as A
+from earshot.functions import gating
 from earshot.functions.audiogram import CAMFIT_BANDS, FREQUENCIES, NALR_FREQUENCIES, audiogram, camfit_gains, camfit_intercepts, limited_gains, nalr_gains, resampled
 from earshot.kernels.dynamics import compressed
 from earshot.kernels.prescription import amplified
@@ -232,12 +233,54 @@ SELECT user_id, CAST(segment AS BIGINT) AS segment, {q6("sum(w * value) / sum(w)
 
 
 def gated_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = framing.gated_level(table(spark, sf_dir, "events"), ["user_id"], "value", absolute=1.0, relative=0.1)
-    return out.select("user_id", "n", r6(F.col("level")).alias("level"))
+    """Level of each event type's values over the windows of ten that reach 1 dB above the whole, threshold and share of active samples."""
+    rows = framing.sample_index(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"])
+    out = framing.gated_levels(rows, ["event_type"], "i", "value", window=10, relative_db=1.0)
+    return out.select("event_type", "n", *[r6(F.col(c)).alias(c) for c in ("rms", "threshold_db", "relative_db", "active")])
 
 
-GATED = f"""WITH e AS (SELECT user_id, value * value AS e FROM events WHERE value * value > 1.0), g AS (SELECT user_id, avg(e) * 0.1 AS g FROM e GROUP BY user_id)
-SELECT user_id, count(*) AS n, {q6("10 * log10(avg(e))")} AS level FROM e JOIN g USING (user_id) WHERE e > g GROUP BY user_id"""
+_GATED_WINDOWS = """e AS (SELECT event_type, coalesce(value, 0.0) AS x, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 10 AS w FROM events),
+s AS (SELECT event_type, count(*) AS n, greatest(20 * log10(sqrt(avg(x * x))) + {}, -80.0) AS t FROM e GROUP BY event_type),
+w AS (SELECT event_type, w, sum(x * x) AS e FROM e GROUP BY event_type, w HAVING count(*) = 10),
+d AS (SELECT event_type, n, t, e, 10 * log10(pow(10.0, (t - 30.0) / 10) + e / 10) AS db FROM w JOIN s USING (event_type))"""
+_GATED_OUT = f"""SELECT event_type, n, {q6("l")} AS rms, {q6("t")} AS threshold_db, {q6("t - 20 * log10(l)")} AS relative_db, {q6("1000.0 * k / n")} AS active
+FROM (SELECT event_type, any_value(n) AS n, any_value(t) AS t, count(*) FILTER (db >= t) AS k, sqrt(sum(e) FILTER (db >= t) / (10 * count(*) FILTER (db >= t))) AS l FROM d GROUP BY event_type)"""
+GATED = f"WITH {_GATED_WINDOWS.format('1.0')} {_GATED_OUT}"
+
+
+def share_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over about the loudest fifth of the windows, by a histogram of their levels."""
+    rows = framing.sample_index(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"])
+    out = framing.gated_levels(rows, ["event_type"], "i", "value", window=10, relative_db=-12.0, share=20)
+    return out.select("event_type", "n", *[r6(F.col(c)).alias(c) for c in ("rms", "threshold_db", "relative_db", "active")])
+
+
+SHARE = f"""WITH {_GATED_WINDOWS.format("(-12.0)")}, r AS (SELECT event_type, min(db) AS low, max(db) AS high, list(db ORDER BY db)[CAST(floor(80 * count(*) / 100) AS INTEGER) + 1] AS v FROM d GROUP BY event_type),
+b AS (SELECT event_type, low, high, v, len(list_filter(range(1, 140), lambda i: v >= low + i * ((high - low) / 140))) AS bin FROM r),
+f AS (SELECT d.event_type, n, e, db, low + greatest(bin, 1) * ((high - low) / 140) AS t FROM d JOIN b USING (event_type)) {_GATED_OUT.replace("FROM d GROUP", "FROM f GROUP")}"""
+
+
+def gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loud windows of each vector as a signal: those above its level, and about half of all."""
+    g, h = A.let(A.doubles(F.col("embedding")), lambda x: gating.gated(x, 4, 0.0)), A.let(A.doubles(F.col("embedding")), lambda x: gating.gated(x, 4, -12.0, share=50))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", g.alias("g"), h.alias("h"))
+    joined = lambda c: F.array_join(F.transform(f"{c}.windows", lambda i: i.cast("string")), ",")
+    return rows.select("vec_id", r6(F.col("g.rms")).alias("rms"), joined("g").alias("windows"), r6(F.col("h.rms")).alias("half_rms"), r6(F.col("h.threshold_db")).alias("half_db"), joined("h").alias("half_windows"))
+
+
+def _loud_sql(name: str, relative: float) -> str:
+    return f"""{name} AS (SELECT vec_id, e, greatest(20 * log10(sqrt(list_dot_product(x, x) / len(x))) + ({relative}), -80.0) AS t,
+  list_transform(e, lambda v: 10 * log10(pow(10.0, (greatest(20 * log10(sqrt(list_dot_product(x, x) / len(x))) + ({relative}), -80.0) - 30.0) / 10) + v)) AS db FROM w)"""
+
+
+GATED_SIGNALS = f"""WITH s AS (SELECT vec_id, {_E} AS x FROM embeddings),
+w AS (SELECT vec_id, x, list_transform(range(0, len(x) // 4), lambda i: list_dot_product(x[4 * i + 1:4 * i + 4], x[4 * i + 1:4 * i + 4]) / 4) AS e FROM s),
+{_loud_sql("a", 0.0)}, {_loud_sql("b", -12.0)},
+c AS (SELECT vec_id, e, db, list_min(db) AS low, list_max(db) AS high, list_sort(db)[CAST(floor(50 * len(db) / 100) AS INTEGER) + 1] AS v FROM b),
+h AS (SELECT vec_id, e, db, low + greatest(len(list_filter(range(1, 140), lambda i: v >= low + i * ((high - low) / 140))), 1) * ((high - low) / 140) AS t FROM c),
+k AS (SELECT a.vec_id, a.e, h.t, list_filter(range(0, len(a.db)), lambda i: a.db[i + 1] >= a.t) AS g, list_filter(range(0, len(h.db)), lambda i: h.db[i + 1] >= h.t) AS h FROM a JOIN h USING (vec_id))
+SELECT vec_id, {q6("sqrt(list_sum(list_transform(g, lambda i: e[i + 1])) / len(g))")} AS rms, array_to_string(g, ',') AS windows,
+{q6("sqrt(list_sum(list_transform(h, lambda i: e[i + 1])) / len(h))")} AS half_rms, {q6("t")} AS half_db, array_to_string(h, ',') AS half_windows FROM k"""
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +319,7 @@ def hearing_aid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (array_rms, clip_count, soft_clip, pcm16, si_snr_pairs, snr_loss_pairs, cosine_pairs, snr_scale_mix, stem_mix, stem_gain, standardised, peak_index, audiogram_resample, nalr_gain, camfit_gain)
-    + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, event_windows, compressor_gain, hearing_aid)
+    + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, share_level, gated_signals, event_windows, compressor_gain, hearing_aid)
 }
 SQL = {
     "array_rms": ARRAY_RMS,
@@ -301,5 +344,7 @@ SQL = {
     "group_delay_shift": SHIFT,
     "segment_smooth": SEGMENT,
     "gated_level": GATED,
+    "share_level": SHARE,
+    "gated_signals": GATED_SIGNALS,
     "event_windows": WINDOWS,
 }

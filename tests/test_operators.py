@@ -92,9 +92,3 @@ def test_splits(spark):
     assert len({r.g for r in held if r.held_out}) == 3 and len(held) == 100
     parts = splits.prompt_split(rows, "g", 45, 2).collect()
     assert sum(r.n for r in parts if r.split == "train") == 50
-
-
-def test_gated_level(spark):
-    rows = frame(spark, [("a", v) for v in (0.0, 0.1, 10.0, 10.0, 2.0)] + [("b", 0.0)], "k string, v double")
-    got = framing.gated_level(rows, ["k"], "v", absolute=0.5, relative=0.1).collect()
-    assert [(r.k, r.n) for r in got] == [("a", 2)] and got[0].level == pytest.approx(20)
