@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from earshot.storage import checkpointed
+
 
 def rmse(x: Column, y: Column) -> Column:
     return F.sqrt(F.avg((x - y) * (x - y)))
@@ -79,31 +83,48 @@ def _signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return total
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
+#: Distinct points of a strip of the plane, and the most strips each way; beyond, strips hold more.
+STRIP_POINTS, MOST_STRIPS = 1 << 18, 512
+
+
+def _strips(cuts: Sequence[float], value: str, out: str) -> tuple[Bucketizer, Column]:
+    """A stage that finds the cut at or below ``value`` by halving, and the strip: an even number for a cut itself, an odd one for what lies between two."""
+    stage = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=value, outputCol=out, handleInvalid="keep")
+    at = F.col(out).cast("int")
+    alone = F.get(F.lit([float(c) for c in cuts]), at - 1) == F.col(value)
+    return stage, 2 * at + 1 - F.coalesce(alone, F.lit(False)).cast("int")
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, *, strip_points: int = STRIP_POINTS) -> DataFrame:
     """One row: n and tau_b, exact, without forming pairs.
 
-    Equal pairs are counted first. The plane is cut into ``parts`` strips each way
-    at quantiles. Pairs in different strips both ways follow from a table of
-    strip counts; pairs within an x strip, within a y strip, and within both, are
-    counted by sorting each. A strip holds about 1/parts of the distinct pairs;
-    raise ``parts`` with the data.
+    Equal pairs are counted first. The plane is cut into strips each way at
+    quantiles, as many as it takes for ``strip_points`` distinct points in each; a
+    value at a cut is a strip of its own, whose pairs tie, so that it may be as
+    frequent as it likes. Pairs in different strips both ways follow from prefix
+    sums over a table of strip counts. Pairs within an x strip, within a y strip,
+    and within both, are counted by halving what a strip holds.
     """
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    points = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    shares = [i / parts for i in range(1, parts)]
+    points = checkpointed(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    strips = min(MOST_STRIPS, max(1, -(-points.count() // strip_points)))
+    shares = [i / strips for i in range(1, strips)] or [0.5]
     cuts = points.agg(F.percentile_approx("x", shares).alias("x"), F.percentile_approx("y", shares).alias("y")).first()
-    strip = lambda c, at: F.size(F.filter(F.lit(sorted(set(at or []))) if at else F.array().cast("array<double>"), lambda v: v < c))
-    placed = points.withColumns({"xs": strip(F.col("x"), cuts["x"]), "ys": strip(F.col("y"), cuts["y"])})
+    placed = points
+    for c in ("x", "y"):
+        stage, strip = _strips(sorted(set(cuts[c] or [0.0])), c, f"{c}_at")
+        placed = stage.transform(placed).withColumn(f"{c}s", strip).drop(f"{c}_at")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s": [_signed_pairs(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy())]})
 
-    inside = lambda by: placed.groupBy(*by).applyInPandas(within, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
-    grid = placed.groupBy("xs", "ys").agg(F.sum("n").alias("n"))
-    table = np.zeros((parts, parts))
-    for i, j, n in grid.collect():  # parts squared rows at most
+    # rows of a strip of one value tie
+    many = lambda by: reduce(lambda a, b: a & b, [F.col(c) % 2 == 1 for c in by])
+    inside = lambda by: placed.where(many(by)).groupBy(*by).applyInPandas(within, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    table = np.zeros((2 * MOST_STRIPS + 4, 2 * MOST_STRIPS + 4))
+    for i, j, n in placed.groupBy("xs", "ys").agg(F.sum("n").alias("n")).collect():  # bounded by the numbers of strips
         table[i, j] = n
-    upto = np.zeros((parts + 1, parts + 1))
+    upto = np.zeros((table.shape[0] + 1, table.shape[1] + 1))
     upto[1:, 1:] = table.cumsum(0).cumsum(1)
     below = upto[:-1, :-1]  # strips lower both ways
     above = upto[:-1, -1:] - upto[:-1, 1:]  # lower x, higher y

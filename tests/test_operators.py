@@ -30,11 +30,31 @@ def tau(x, y):
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 9)), min_size=0, max_size=60))
 def test_kendall(spark, pairs):
-    got = stats.kendall_tau_b(frame(spark, pairs, "x int, y int"), "x", "y", parts=4).first()
+    got = stats.kendall_tau_b(frame(spark, pairs, "x int, y int"), "x", "y", strip_points=12).first()
     wanted = tau([p[0] for p in pairs], [p[1] for p in pairs]) if pairs else None
     assert got.n == len(pairs) and (got.tau_b is None if wanted is None else got.tau_b == pytest.approx(wanted))
 
 
+@pytest.mark.parametrize("y", ["id % 2", "if(id % 3 = 0, 7, id % 1000)", "hash(id, 3)", "5"])
+def test_kendall_of_frequent_values_holds_no_more_than_a_strip(spark, monkeypatch, y):
+    count = stats._signed_pairs
+
+    def seen(x, y, n):
+        if len(x) > 3000:
+            raise AssertionError(f"{len(x)} points")
+        return count(x, y, n)
+
+    monkeypatch.setattr(stats, "_signed_pairs", seen)
+    rows = spark.range(20_000).selectExpr("hash(id) % 3000 AS x", f"{y} AS y")
+    got = stats.kendall_tau_b(rows, "x", "y", strip_points=1000).first()
+    local = rows.groupBy("x", "y").count().toPandas()
+    points = [local[c].to_numpy(float) for c in ("x", "y", "count")]
+    pairs = lambda n: float((n * (n - 1) / 2).sum())
+    total = 20_000 * 19_999 / 2
+    scale = ((total - pairs(local.groupby("x")["count"].sum())) * (total - pairs(local.groupby("y")["count"].sum()))) ** 0.5
+    assert got.n == 20_000 and (got.tau_b == pytest.approx(count(*points) / scale, abs=1e-12) if scale else got.tau_b is None)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.integers(1, 3)), max_size=25))
 def test_signed_pairs(points):
