@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from earshot.kernels.dynamics import Compressor
+from earshot.streaming.chunks import Compressing, in_order
 
 
 def windowed_levels(events: DataFrame, *, late: str = "10 minutes", size: str = "5 minutes", slide: str | None = None) -> DataFrame:
@@ -26,19 +21,6 @@ def sessions(events: DataFrame, *, gap: str = "5 minutes", late: str = "10 minut
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "user_id", "n")
 
 
-def compressed_chunks(chunks: DataFrame, *, rate: float, **settings: float) -> DataFrame:
-    """Chunks of signals (``signal_id``, ``chunk``, ``x``) through a compressor that carries its gain and window on.
-
-    Chunks of one signal come in order within a micro-batch and between them.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        unit = Compressor(rate, **settings)
-        gain, tail = state.get if state.exists else (1.0, [0.0] * unit.window)
-        for frame in frames:
-            for row in frame.sort_values("chunk").itertuples():
-                out, gain, tail = unit.run(np.asarray(row.x, float), gain, np.asarray(tail, float))
-                yield pd.DataFrame({"signal_id": [key[0]], "chunk": [row.chunk], "x": [out.tolist()]})
-        state.update((float(gain), [float(v) for v in tail]))
-
-    return chunks.groupBy("signal_id").applyInPandasWithState(run, "signal_id string, chunk long, x array<double>", "gain double, tail array<double>", "append", GroupStateTimeout.NoTimeout)
+def compressed_chunks(chunks: DataFrame, *, rate: float, wait_ms: int = 60_000, **settings: float) -> DataFrame:
+    """Chunks of signals (``signal_id``, ``chunk`` from 0, ``x``), in any order, through a compressor that carries its gain and window on; see ``chunks.in_order``."""
+    return in_order(chunks, Compressing(rate, **settings), wait_ms=wait_ms)
