@@ -49,9 +49,19 @@ class Sentences:
     first: np.ndarray
 
 
+#: Letters whose lower case is longer than they are, and its first letter.
+LONGER = {i: chr(i).lower()[0] for i in range(0x10FFFF) if len(chr(i).lower()) > 1}
+
+
+def folded(text: str) -> str:
+    """Lower case with as many code points as the text has, so that places in it are places in the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(LONGER).lower()
+
+
 def sentences(texts: list[str]) -> Sentences:
     """Stretches between full stops, exclamation and question marks and line ends that hold a word; words are runs of letters, case folded."""
-    arrays = tv.code_points([t if len(low := t.lower()) != len(t) else low for t in texts])
+    arrays = tv.code_points([folded(t) for t in texts])
     points = arrays.points
     w = tv.words(arrays, tv.letters(points), PREFIXES)
     breaks = np.zeros(len(points) + 1, np.int64)
@@ -110,15 +120,20 @@ def train(texts: list[str], y: np.ndarray, counts: dict[int, int], *, epochs: in
     for s, label in zip(split, y, strict=True):
         seen[int(label), np.unique(s.buckets)] += 1
     active = _telling(seen, np.bincount(y, minlength=2))
-    weight, bias = np.zeros(1 << BITS), -4.0
-    power, bias_power = np.full(1 << BITS, 1e-4), 1e-4
+    # only these have a weight: they are numbered from 1, and 0 stands for the others
+    place = np.zeros(1 << BITS, np.int64)
+    place[active] = np.arange(1, active.sum() + 1)
+    kept = int(active.sum()) + 1
+    held = [place[s.buckets] for s in split]
+    weight, bias = np.zeros(kept), -4.0
+    power, bias_power = np.full(kept, 1e-4), 1e-4
     rng = np.random.default_rng(seed)
     usable = [i for i, s in enumerate(split) if len(s.starts)]
     for _ in range(max(epochs, LEAST_STEPS * BATCH // max(1, len(usable)))):
         order = rng.permutation(usable)
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            ids = np.concatenate([split[i].buckets for i in some])
+            ids = np.concatenate([held[i] for i in some])
             n_words = np.concatenate([split[i].word_last - split[i].word_first for i in some])
             n_sents = np.array([len(split[i].starts) for i in some])
             w_first, s_first = np.cumsum(n_words) - n_words, np.cumsum(n_sents) - n_sents
@@ -129,14 +144,14 @@ def train(texts: list[str], y: np.ndarray, counts: dict[int, int], *, epochs: in
             label = y[some]
             # slope by sentence: p if the document is clean, -p * (1 - doc) / doc if not
             slope = p * np.repeat(np.where(label == 1, -np.exp(log_none) / doc, 1.0), n_sents) / len(some)
-            grad = np.bincount(ids.ravel(), np.repeat(slope, n_words * ids.shape[1]), 1 << BITS) + DECAY * weight
-            grad[~active] = 0
+            grad = np.bincount(ids.ravel(), np.repeat(slope, n_words * ids.shape[1]), kept) + DECAY * weight
+            grad[0] = 0
             power += grad * grad
             weight -= RATE * grad / np.sqrt(power)
             bias_power += slope.sum() ** 2
             bias -= RATE * slope.sum() / np.sqrt(bias_power)
     sample = float(np.log((y == 1).sum() / (y == 0).sum()))
-    return Model(np.round(weight * tv.FIXED).astype(np.int64), int(round(bias * tv.FIXED)), prior - sample)
+    return Model(np.round(weight * tv.FIXED).astype(np.int64)[place], int(round(bias * tv.FIXED)), prior - sample)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", learn=None, per_class: int = PER_CLASS) -> Model:

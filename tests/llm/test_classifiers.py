@@ -74,6 +74,69 @@ def test_offending_sentences():
     assert ((scores >= 0.3) == np.array(y)).mean() > 0.97
 
 
+def test_letters_whose_lower_case_is_longer_leave_the_rest_folded():
+    text = "İSTANBUL Nasty. \u0130x ΣΟΣ"
+    assert len(toxicity.folded(text)) == len(text) and toxicity.folded(text).startswith("istanbul nasty.")
+    s, plain = toxicity.sentences([text]), toxicity.sentences(["istanbul nasty"])
+    assert [text[a:b] for a, b in zip(s.starts, s.ends, strict=True)] == ["İSTANBUL Nasty", "İx ΣΟΣ"]
+    assert s.buckets[:2].tolist() == plain.buckets.tolist()
+
+
+def word_buckets(word):
+    (row,) = toxicity.sentences([word]).buckets.tolist()
+    return row
+
+
+def test_sentence_and_document_scores_by_brute_force():
+    rng = np.random.default_rng(9)
+    model = toxicity.Model(rng.integers(-(1 << 16), 1 << 16, 1 << toxicity.BITS), -textvec.FIXED, 0.4)
+    texts = ["One two three. Four! five\nsix? seven", "", "...", "Eight nine"]
+    s = toxicity.sentences(texts)
+    wanted_logits, wanted_scores = [], []
+    for text in texts:
+        none = 1.0
+        for sentence in "".join("|" if c in ".!?\n" else c for c in text).split("|"):
+            words = sentence.lower().split()
+            if words:
+                z = (sum(int(model.table[b]) for w in words for b in word_buckets(w)) + model.bias) / textvec.FIXED
+                wanted_logits.append(z)
+                none *= 1 - 1 / (1 + np.exp(-z))
+        p = min(max(1 - none, 1e-12), 1 - 1e-12)
+        wanted_scores.append(1 / (1 + np.exp(-(np.log(p / (1 - p)) + 0.4))))
+    assert model.sentence_logits(s) == pytest.approx(wanted_logits)
+    assert model.scores(s) == pytest.approx(wanted_scores, rel=1e-6)
+
+
+def test_first_step_of_the_fit_by_brute_force(monkeypatch):
+    """Slopes of the noisy-or likelihood by differences, against the weights after one step over all texts."""
+    texts = ["bad word here. fine day", "bad again", "fine day. good word", "good day today", "bad bad thing", "nice thing", "awful bad day", "nice day. good"]
+    y = np.array([1, 1, 0, 0, 1, 0, 1, 0])
+    monkeypatch.setattr(toxicity, "BATCH", len(texts))
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 0)
+    monkeypatch.setattr(toxicity, "LEAST_RATIO", 3.0)
+    model = toxicity.train(texts, y, {0: 4, 1: 4}, epochs=1)
+    active = {b for b in np.flatnonzero(model.table).tolist()}
+    assert active == set(word_buckets("bad"))
+
+    def loss(weight, bias):
+        total = 0.0
+        for text, label in zip(texts, y, strict=True):
+            none = 1.0
+            for sentence in text.split("."):
+                z = sum(weight.get(b, 0.0) for w in sentence.split() for b in word_buckets(w)) + bias
+                none *= 1 - 1 / (1 + np.exp(-z))
+            total -= np.log(1 - none) if label else np.log(none)
+        return total / len(texts)
+
+    e = 1e-5
+    slope = {b: (loss({b: e}, -4.0) - loss({b: -e}, -4.0)) / (2 * e) for b in active}
+    for b, g in slope.items():
+        g *= len([x for x in word_buckets("bad") if x == b]) or 1
+        assert model.table[b] / textvec.FIXED == pytest.approx(-g / np.sqrt(1e-4 + g * g), rel=1e-3)
+    g = (loss({}, -4.0 + e) - loss({}, -4.0 - e)) / (2 * e)
+    assert model.bias / textvec.FIXED == pytest.approx(-4.0 - g / np.sqrt(1e-4 + g * g), rel=1e-3)
+
+
 def test_noisy_or_is_exact():
     model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.int64), -textvec.FIXED, 0.0)
     p = 1 / (1 + np.e)
@@ -128,7 +191,9 @@ def test_held_out_quality(spark):
 @needs_data
 def test_held_out_toxicity(spark):
     rows = accuracy(spark, "op7_toxicity", "toxic", 2, 4).where("held_out").join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").collect()
+    hits = sum(r.predicted and r.toxic for r in rows)
     assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.88
+    assert hits >= 0.8 * sum(r.predicted for r in rows) and hits >= 0.5 * sum(r.toxic for r in rows)  # calling all clean has neither
 
 
 @needs_data
