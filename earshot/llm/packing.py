@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from earshot.llm.common import checkpointed, chunks, fresh_names, table
+from earshot.llm.common import checkpointed, chunks, fresh_names, table, trim
 
 CAPACITY = 2048
 UNIT = 16
@@ -157,9 +157,12 @@ PIECES = T.StructType(
 )
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS, keep_words: bool = True) -> DataFrame:
     """Every document's ids and ``end_id``, cut at multiples of ``capacity``.
 
+    A worker remembers words from task to task; without ``keep_words`` it gives
+    tokeniser and words back after each.
+
     Columns: doc_id, start (ids before the piece), length, doc_tokens, ids
     (little-endian unsigned 32-bit). A null or empty text gives one piece, the
     end id alone. Repeated rows are cut each; null ids stay null.
@@ -178,6 +181,10 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
                     rows += [(owner, s, min(capacity, total - s), total, ids[4 * s : 4 * (s + capacity)]) for s in range(0, total, capacity)]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=PIECES.names)
+        if not keep_words:
+            del encode
+            _encoders.clear()
+            trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
 
@@ -324,9 +331,9 @@ def pack(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...]
     return placed.withColumn("offset", F.coalesce(F.sum(length_col).over(inside), F.lit(0)).cast("long")).select(*kept, "sequence_id", "offset")
 
 
-def packed_documents(docs: DataFrame, *, cache_words: int = CACHE_WORDS) -> DataFrame:
+def packed_documents(docs: DataFrame, *, cache_words: int = CACHE_WORDS, keep_words: bool = True) -> DataFrame:
     """The pieces of ``docs`` with their checksums and places."""
-    cut = pieces(docs, cache_words=cache_words).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, cache_words=cache_words, keep_words=keep_words).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(checkpointed(cut), order=("doc_id", "start", "ids_crc32", "doc_tokens")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
