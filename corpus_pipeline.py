@@ -43,9 +43,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences.
 
-    Workers outlive a stage, so they remember fewer words here than alone.
+    Workers outlive a stage, so they give back what they have remembered here.
     """
-    return packing.packed_documents(docs, cache_words=100_000)
+    return packing.packed_documents(docs, keep_words=False)
 
 
 def _sized(docs: DataFrame) -> DataFrame:
