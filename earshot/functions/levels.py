@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import comb
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from earshot.functions.arrays import let, rms
+from earshot.functions.arrays import let, mean, rms
 
 # Levels in dB HL at the standard frequencies for three degrees of hearing loss.
 STANDARD_LOSS = {
@@ -99,3 +99,22 @@ def cropped(signal: Column, length: int, key: Column, silence: int = 0) -> Colum
     room = F.greatest(F.size(signal) - silence - length + 1, F.lit(1))
     part = F.slice(signal, (keyed_number(key, room) + silence + 1).cast("int"), F.lit(length))
     return F.concat(part, F.array_repeat(F.lit(0.0), F.lit(length) - F.size(part)))
+
+
+def shared_gains(gains: Column, labels: Column) -> Column:
+    """Gains of sources; those whose label another source has too get the mean over all such sources, whatever their label."""
+    twice = lambda label: F.size(F.filter(labels, lambda other: other.eqNullSafe(label))) > 1
+    pairs = F.zip_with(gains, F.transform(labels, twice), lambda g, t: F.struct(g.alias("gain"), t.alias("twice")))
+    return let(pairs, lambda p: let(mean(F.transform(F.filter(p, lambda s: s["twice"]), lambda s: s["gain"])), lambda m: F.transform(p, lambda s: F.when(s["twice"], m).otherwise(s["gain"]))))
+
+
+def best_of_ears(left: Column, right: Column, left_reference: Column, right_reference: Column, score: Callable[[Column, Column], Column]) -> Column:
+    """The greatest of the four scores of either ear against either reference; null only if all are."""
+    return F.greatest(*[score(reference, ear) for reference in (left_reference, right_reference) for ear in (left, right)])
+
+
+def delayed_references(left: Column, right: Column, left_delay: Column, right_delay: Column) -> Column:
+    """Both references later by so many samples each, with zeros to the length of the later one: fields left and right."""
+    most = F.greatest(left_delay, right_delay)
+    late = lambda x, by: F.concat(F.array_repeat(F.lit(0.0), by), x, F.array_repeat(F.lit(0.0), most - by))
+    return F.struct(late(left, left_delay).alias("left"), late(right, right_delay).alias("right"))

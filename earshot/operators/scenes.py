@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.functions.draws import bounded_normal, open_unit
 from earshot.functions.keys import md5_seed, numbered
 
 #: What an interferer can be.
@@ -28,13 +29,9 @@ def chosen(key: Column, name: str, seed: int, options: Sequence) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), at + 1)
 
 
-def bounded_gauss(key: Column, name: str, seed: int, spread: float, bound: float, tries: int = 8) -> Column:
-    """The first of some normal draws within the bound, 0 if none is."""
-    draws = []
-    for i in range(tries):
-        u, v = draw(key, f"{name}{i}u", seed), draw(key, f"{name}{i}v", seed)
-        draws.append(F.sqrt(-2 * F.ln(u + 1e-9)) * F.cos(2 * F.pi() * v) * spread)
-    return F.coalesce(*[F.when(F.abs(d) <= bound, d) for d in draws], F.lit(0.0))
+def bounded_gauss(key: Column, name: str, seed: int, spread: float, bound: float) -> Column:
+    """A normal draw, given that it lies within the bound."""
+    return bounded_normal(open_unit(key, name, seed), spread, bound)
 
 
 def build_scenes(targets: DataFrame, key: str, *, seed: int, snr: tuple[float, float] = (-12.0, 6.0), most_interferers: int = 3, rate: int = 44100, pre_s: float = 2.0) -> DataFrame:

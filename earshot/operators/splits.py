@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from earshot.columns import fresh_names
+from earshot.functions.draws import open_unit, weighted_order
 from earshot.functions.keys import seeded_order
 from earshot.operators.worklist import numbered_rows
 from earshot.storage import checkpointed
@@ -24,6 +25,19 @@ def sample_per_group(df: DataFrame, by: Sequence[str], key: str, k: int, seed: i
     return df.withColumn(draw, seeded_order(seed, F.col(key))).withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= k).drop(draw)
 
 
+def weighted_sample(df: DataFrame, by: Sequence[str], key: str, weight: str, k: int, seed: int, out: str = "rank") -> DataFrame:
+    """``k`` rows of each group without replacement, drawn by weight, with their ``out`` from 1 in the order drawn.
+
+    Rows whose weight is null or not above 0 are not drawn; a group with fewer
+    others gives all of those. Spark keeps only ``k`` rows a group and task before
+    the shuffle.
+    """
+    (draw,) = fresh_names(df, "_draw")
+    order = weighted_order(open_unit(F.col(key), "weighted", seed), F.col(weight).cast("double"))
+    rows = df.withColumn(draw, order).where(F.col(draw).isNotNull())
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(draw, key))).where(F.col(out) <= k).drop(draw)
+
+
 def hold_out(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """``df`` with ``held_out``: true for the floor of ``share`` of the distinct keys, drawn by seed."""
     draw, number = fresh_names(df.select(key), "_draw", "_rn")

@@ -19,6 +19,10 @@ def rmse(x: Column, y: Column) -> Column:
     return F.sqrt(F.avg((x - y) * (x - y)))
 
 
+def mse(x: Column, y: Column) -> Column:
+    return F.avg((x - y) * (x - y))
+
+
 def mae(x: Column, y: Column) -> Column:
     return F.avg(F.abs(x - y))
 

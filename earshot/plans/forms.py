@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import arrays as A
 from earshot.functions import levels as L
+from earshot.functions.draws import MIDDLE, TAIL
 from earshot.operators import merging
+from earshot.operators.scenes import bounded_gauss
+from earshot.operators.splits import weighted_sample
 from earshot.operators.worklist import numbered_rows
 from earshot.plans.common import q6, r6, table
 
@@ -233,6 +239,78 @@ KEYED_GAINS = f"""WITH s AS (SELECT vec_id, {_E} AS e, 0.25 + ({_HEX.format("'ga
 SELECT vec_id, w AS swapped, {q6(f"g * CASE WHEN w THEN {_HALF(33, 64)} ELSE {_HALF(1, 32)} END")} AS left_rms FROM s"""
 
 
+def repeated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of five sources by their labels, the first letters of what the components are above: repeated ones share a mean."""
+    gains = F.slice("x", 1, 5)
+    labels = F.transform(gains, lambda v: F.when(v > 0.1, "violin").when(v > 0, "viola").when(v > -0.1, "cello").otherwise("flute"))
+    rows = _signals(spark, sf_dir).select("vec_id", L.shared_gains(gains, labels).alias("g"))
+    return rows.select("vec_id", *[r6(F.element_at("g", i)).alias(f"gain_{i}") for i in range(1, 6)])
+
+
+REPEATED = f"""WITH s AS (SELECT vec_id, {_E}[1:5] AS g FROM embeddings),
+l AS (SELECT vec_id, g, list_transform(g, lambda v: CASE WHEN v > 0.1 THEN 'violin' WHEN v > 0 THEN 'viola' WHEN v > -0.1 THEN 'cello' ELSE 'flute' END) AS l FROM s),
+t AS (SELECT vec_id, g, list_transform(l, lambda a: len(list_filter(l, lambda b: b = a)) > 1) AS t FROM l),
+m AS (SELECT vec_id, g, t, list_avg(list_transform(list_filter(range(1, 6), lambda i: t[i]), lambda i: g[i])) AS m FROM t)
+SELECT vec_id, {", ".join(f"{q6(f'CASE WHEN t[{i}] THEN m ELSE g[{i}] END')} AS gain_{i}" for i in range(1, 6))} FROM m"""
+
+
+def four_way_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best match of either ear with either reference, quarters of a vector each, and the references' squared error."""
+    quarter = lambda i: F.slice("x", 16 * i + 1, 16)
+    best = L.best_of_ears(*[quarter(i) for i in range(4)], A.cosine)
+    error = A.let(quarter(2), lambda a: A.energy(F.zip_with(a, quarter(3), lambda u, v: u - v)) / 16)
+    return _signals(spark, sf_dir).select("vec_id", r6(best).alias("match"), r6(error).alias("error"))
+
+
+_COSINE = lambda a, b: f"list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+FOUR_WAY = f"""WITH s AS (SELECT vec_id, {_E} AS e FROM embeddings), q AS (SELECT vec_id, e[1:16] AS a, e[17:32] AS b, e[33:48] AS c, e[49:64] AS d FROM s)
+SELECT vec_id, {q6(f"greatest({_COSINE('c', 'a')}, {_COSINE('c', 'b')}, {_COSINE('d', 'a')}, {_COSINE('d', 'b')})")} AS match,
+{q6("(list_dot_product(c, c) - 2 * list_dot_product(c, d) + list_dot_product(d, d)) / 16")} AS error FROM q"""
+
+
+def delayed_ears(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of a vector as references of two ears, each later by where its greatest sample lies, and how they go together then."""
+    left, right = F.slice("x", 1, 32), F.slice("x", 33, 32)
+    late = L.delayed_references(left, right, A.first_argmax(left).cast("int"), A.first_argmax(right).cast("int"))
+    rows = _signals(spark, sf_dir).select("vec_id", late.alias("d"))
+    return rows.select("vec_id", F.size("d.left").alias("n"), r6(A.dot(F.col("d.left"), F.col("d.right"))).alias("product"))
+
+
+DELAYED = f"""WITH s AS (SELECT vec_id, {_E} AS e FROM embeddings), h AS (SELECT vec_id, e[1:32] AS a, e[33:64] AS b FROM s),
+k AS (SELECT vec_id, a, b, list_position(a, list_max(a)) - 1 AS i, list_position(b, list_max(b)) - 1 AS j FROM h)
+SELECT vec_id, CAST(32 + greatest(i, j) AS INTEGER) AS n, {q6("coalesce(list_sum(list_transform(range(greatest(i, j), 32 + least(i, j)), lambda t: a[t - i + 1] * b[t - j + 1])), 0.0)")} AS product FROM k"""
+
+
+_TURN = "(('0x' || substr(md5('21:turn:' || o_orderkey), 1, 16))::UBIGINT::HUGEINT % 100000000 * (18446744073709551616::HUGEINT % 100000000) + ('0x' || substr(md5('21:turn:' || o_orderkey), 17, 16))::UBIGINT::HUGEINT % 100000000) % 100000000"
+
+
+def rotation_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn of the head for each order: normal, within three standard deviations."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", r6(bounded_gauss(F.col("o_orderkey"), "turn", 21, 7.5, 22.5)).alias("turn"))
+
+
+def _ratio_sql(x: str, of: tuple) -> str:
+    polynomial = lambda factors: reduce(lambda total, f: f"({total}) * {x} + {f!r}::DOUBLE", factors[-2::-1], f"{factors[-1]!r}::DOUBLE")
+    return f"({polynomial(of[0])}) / ({polynomial(of[1])})"
+
+
+_LOW = NormalDist().cdf(-3.0)
+ROTATION = f"""WITH u AS (SELECT o_orderkey, {_LOW!r}::DOUBLE + ((CAST({_TURN} AS DOUBLE) + 0.5) / 1e8) * {1 - 2 * _LOW!r}::DOUBLE AS p FROM orders),
+r AS (SELECT o_orderkey, p - 0.5 AS q, 0.180625::DOUBLE - (p - 0.5) * (p - 0.5) AS m, sqrt(-ln(least(p, 1 - p))) - 1.6 AS t FROM u)
+SELECT o_orderkey, {q6(f"7.5 * CASE WHEN abs(q) <= 0.425 THEN q * ({_ratio_sql('m', MIDDLE)}) WHEN q < 0 THEN -({_ratio_sql('t', TAIL)}) ELSE {_ratio_sql('t', TAIL)} END")} AS turn FROM r"""
+
+
+def weighted_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five orders of each priority, drawn by price."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return weighted_sample(rows, ["o_orderpriority"], "o_orderkey", "o_totalprice", 5, 21).select("o_orderpriority", "rank", "o_orderkey")
+
+
+WEIGHTED = f"""SELECT o_orderpriority, CAST(rank AS INTEGER) AS rank, o_orderkey FROM (
+  SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY -ln((CAST({_TURN.replace(":turn:", ":weighted:")} AS DOUBLE) + 0.5) / 1e8) / o_totalprice, o_orderkey) AS rank FROM orders WHERE o_totalprice > 0)
+WHERE rank <= 5"""
+
+
 _ALL = (
     (presence_flag, PRESENCE),
     (standard_audiograms, STANDARD),
@@ -256,6 +334,11 @@ _ALL = (
     (matched_levels, MATCHED),
     (keyed_crops, CROPS),
     (keyed_gains, KEYED_GAINS),
+    (repeated_sources, REPEATED),
+    (four_way_match, FOUR_WAY),
+    (delayed_ears, DELAYED),
+    (rotation_draws, ROTATION),
+    (weighted_picks, WEIGHTED),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 SQL = {f.__name__: sql for f, sql in _ALL}
