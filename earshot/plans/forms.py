@@ -295,7 +295,7 @@ def _ratio_sql(x: str, of: tuple) -> str:
 
 
 _LOW = NormalDist().cdf(-3.0)
-ROTATION = f"""WITH u AS (SELECT o_orderkey, {_LOW!r}::DOUBLE + ((CAST({_TURN} AS DOUBLE) + 0.5) / 1e8) * {1 - 2 * _LOW!r}::DOUBLE AS p FROM orders),
+TURNS = f"""WITH u AS (SELECT o_orderkey, {_LOW!r}::DOUBLE + ((CAST({_TURN} AS DOUBLE) + 0.5) / 1e8) * {1 - 2 * _LOW!r}::DOUBLE AS p FROM orders),
 r AS (SELECT o_orderkey, p - 0.5 AS q, 0.180625::DOUBLE - (p - 0.5) * (p - 0.5) AS m, sqrt(-ln(least(p, 1 - p))) - 1.6 AS t FROM u)
 SELECT o_orderkey, {q6(f"7.5 * CASE WHEN abs(q) <= 0.425 THEN q * ({_ratio_sql('m', MIDDLE)}) WHEN q < 0 THEN -({_ratio_sql('t', TAIL)}) ELSE {_ratio_sql('t', TAIL)} END")} AS turn FROM r"""
 
@@ -337,7 +337,7 @@ _ALL = (
     (repeated_sources, REPEATED),
     (four_way_match, FOUR_WAY),
     (delayed_ears, DELAYED),
-    (rotation_draws, ROTATION),
+    (rotation_draws, TURNS),
     (weighted_picks, WEIGHTED),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
