@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import arrays as A
-from earshot.functions import gating
+from earshot.functions import gating, segments
 from earshot.functions.audiogram import CAMFIT_BANDS, FREQUENCIES, NALR_FREQUENCIES, audiogram, camfit_gains, camfit_intercepts, limited_gains, nalr_gains, resampled
 from earshot.kernels.dynamics import compressed
 from earshot.kernels.prescription import amplified
@@ -283,6 +283,26 @@ SELECT vec_id, {q6("sqrt(list_sum(list_transform(g, lambda i: e[i + 1])) / len(g
 {q6("sqrt(list_sum(list_transform(h, lambda i: e[i + 1])) / len(h))")} AS half_rms, {q6("t")} AS half_db, array_to_string(h, ',') AS half_windows FROM k"""
 
 
+def segment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of each signal and the one before it of its label over windows of thirty frames, frames of the loudest two thirds or so active."""
+    rows = _pairs(spark, sf_dir).select("vec_id", F.transform("x", F.abs).alias("x"), F.transform("y", F.abs).alias("y"))
+    active = F.transform("x", lambda v: (v > 0.05).cast("int"))
+    return rows.select("vec_id", r6(segments.segment_match(F.col("x"), F.col("y"), 30, active=active)).alias("active_match"), r6(segments.segment_match(F.col("x"), F.col("y"), 30)).alias("match"))
+
+
+def _match_sql(mask: str) -> str:
+    return f"""(SELECT sum(c) / (sum(m) / 30 + 1e-8) FROM (
+  SELECT list_sum(list_transform(range(1, 31), lambda t: (a[t] - ma) * (b[t] - mb) * w[t])) / ((sqrt(list_sum(list_transform(range(1, 31), lambda t: pow((a[t] - ma) * w[t], 2)))) + 1e-8) * (sqrt(list_sum(list_transform(range(1, 31), lambda t: pow((b[t] - mb) * w[t], 2)))) + 1e-8)) AS c, list_sum(w) AS m
+  FROM (SELECT *, list_dot_product(a, w) / (list_sum(w) + 1e-8) AS ma, list_dot_product(b, w) / (list_sum(w) + 1e-8) AS mb
+    FROM (SELECT a, w, list_transform(range(1, 31), lambda t: least(b[t] * g, a[t] * (1 + pow(10, 15.0 / 20)))) AS b
+      FROM (SELECT *, sqrt(list_sum(list_transform(range(1, 31), lambda t: pow(a[t] * w[t], 2)))) / (sqrt(list_sum(list_transform(range(1, 31), lambda t: pow(b[t] * w[t], 2)))) + 1e-8) AS g
+        FROM (SELECT x[i:i + 29] AS a, y[i:i + 29] AS b, list_transform(x[i:i + 29], lambda v: {mask}) AS w FROM (SELECT unnest(range(1, len(x) - 28)) AS i)))))))"""
+
+
+MATCH = f"""{_PAIRS}, e AS (SELECT vec_id, list_transform(x, lambda v: abs(v)) AS x, list_transform(y, lambda v: abs(v)) AS y FROM p WHERE y IS NOT NULL)
+SELECT vec_id, {q6(_match_sql("CASE WHEN v > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))} AS active_match, {q6(_match_sql("1.0::DOUBLE"))} AS match FROM e"""
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level of each event type in five-minute windows."""
     rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
@@ -319,7 +339,7 @@ def hearing_aid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (array_rms, clip_count, soft_clip, pcm16, si_snr_pairs, snr_loss_pairs, cosine_pairs, snr_scale_mix, stem_mix, stem_gain, standardised, peak_index, audiogram_resample, nalr_gain, camfit_gain)
-    + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, share_level, gated_signals, event_windows, compressor_gain, hearing_aid)
+    + (frame_energy_vad, overlap_add, moving_rms, group_delay_shift, segment_smooth, gated_level, share_level, gated_signals, segment_match, event_windows, compressor_gain, hearing_aid)
 }
 SQL = {
     "array_rms": ARRAY_RMS,
@@ -346,5 +366,6 @@ SQL = {
     "gated_level": GATED,
     "share_level": SHARE,
     "gated_signals": GATED_SIGNALS,
+    "segment_match": MATCH,
     "event_windows": WINDOWS,
 }
