@@ -14,8 +14,16 @@ from earshot.llm import mixing, neardup, packing, quality, secrets
 from earshot.llm.common import checkpointed, release, table
 
 
+def _lean(spark: SparkSession) -> None:
+    """Python workers started from here on, which outlive stages, give freed memory back: Arrow takes it from the system, which keeps few arenas."""
+    own = spark.sparkContext.environment
+    own.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    own.setdefault("MALLOC_ARENA_MAX", "2")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to all labels, scores ``LEAST_SCORE`` or more."""
+    _lean(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     release(spark)
     scored = quality.score(docs, model, out_col="_quality")
@@ -24,6 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id in each class of near-duplicates."""
+    _lean(spark)
     return neardup.deduplicated(docs)
 
 
@@ -36,6 +45,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each whole pass over a document, and one for the blocks taken of it besides."""
+    _lean(spark)
     plan = checkpointed(mixing.mix(docs))
     return _sized(mixing.mixed_texts(docs, plan))
 
@@ -45,6 +55,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers outlive a stage, so they give back what they have remembered here.
     """
+    _lean(spark)
     return packing.packed_documents(docs, keep_words=False)
 
 
