@@ -76,7 +76,7 @@ def test_stages_take_edges(spark, edges, none, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_chat", "op4_topk"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_chat", "op4_topk", "op11_codes", "op12_negatives", "op13_urls"}))
 def test_queries_take_edges(spark, edges, tmp_path, name):
     edges.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, 0), (2, 1, 1), (4, 0, None), (6, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -84,3 +84,17 @@ def test_queries_take_edges(spark, edges, tmp_path, name):
     assert len(rows) >= edges.count()
     per_document = {str(r.doc_id) for r in rows}
     assert per_document == {str(r.doc_id) for r in edges.collect()}
+
+
+def test_queries_of_vectors_and_pages_take_edges(spark, tmp_path):
+    nan = float("nan")
+    vectors = [(0, [1.0, 0.5, 0.2, 0.1], 1), (0, [1.0, 0.5, 0.2, 0.1], 1), (100, [0.5, 0.5, 0.1, 0.3], 1), (200, None, 1), (7, [1.0, None, 0.0, 0.0], 2), (8, [nan, 0.0, 0.0, 0.0], 2), (None, [1.0, 0.2, 0.1, 0.0], None), (3, [0.7, 0.2, 0.1, 0.1], 2), (20, [], None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pages = [(1, "http://a.com/x", None), (1, "http://a.com/x", "h"), (None, None, None), (2, "", ""), (3, "http://b.net/fr/" + "x" * 100_000, "h")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = {name: queries.QUERIES[name](spark, str(tmp_path)).collect() for name in ("op4_topk", "op11_codes", "op12_negatives", "op13_urls")}
+    assert {r.query_id for r in found["op4_topk"]} == {0, 20, 100}
+    assert sorted(str(r.vec_id) for r in found["op11_codes"]) == ["0", "0", "100", "20", "3", "None"]
+    assert {(r.anchor_id, r.positive_id, r.negative_id) for r in found["op12_negatives"]} <= {(0, 100, 3), (100, 0, 3)}
+    assert sorted((str(r.page_id), r.host, r.verdict) for r in found["op13_urls"]) == [("1", "a.com", "allow"), ("1", "a.com", "allow"), ("2", "", "allow"), ("3", "b.net", "block"), ("None", "", "allow")]
