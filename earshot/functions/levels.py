@@ -74,6 +74,17 @@ def rotation_indices(length: int, start: Column, end: Column, order: int = 1) ->
     return F.when((start > end) | (end > length), F.raise_error(F.lit("a turn must start before it ends, within the signal"))).otherwise(at)
 
 
+def looked_up(table: Column, indices: Column) -> Column:
+    """The entries of ``table`` at ``indices`` (from 0); an index beyond it is an error."""
+    return F.transform(indices, lambda i: F.element_at(table, i + 1))
+
+
+def turn_angles(indices: Column, length: int, first: Column, last: Column) -> Column:
+    """The angle at each sample of a turn from ``first`` to ``last`` by ``rotation_indices``: steps of a table of ``length`` equal ones."""
+    table = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: first + (last - first) * i / (length - 1))
+    return let(table, lambda t: looked_up(t, indices))
+
+
 def remixed(vocals: Column, accompaniment: Column, beta: Column) -> Column:
     """Vocals at ``beta ** 2 + 1`` and accompaniment at two less that."""
     return F.zip_with(vocals, accompaniment, lambda v, a: v * (beta * beta + 1) + a * (2 - (beta * beta + 1)))

@@ -188,6 +188,18 @@ ROTATION = f"""SELECT s_suppkey, array_to_string(list_transform(range(64), lambd
 FROM (SELECT s_suppkey, s_suppkey % 20 AS a FROM supplier)"""
 
 
+def rotation_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angles of such a turn, from the supplier's number below 90 to as many degrees more as it is below 20."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 20).cast("int").alias("a"), (F.col("s_suppkey") % 90).cast("double").alias("first"))
+    angles = L.turn_angles(L.rotation_indices(64, F.col("a"), F.col("a") + 31), 64, F.col("first"), F.col("first") + F.col("a"))
+    return rows.select("s_suppkey", r6(F.element_at(angles, 1)).alias("begins"), r6(F.element_at(angles, 32)).alias("halfway"), r6(A.total(angles)).alias("angles"))
+
+
+_ANGLE = f"(f + a * floor((-2.0 * {_Q} + 3) * {_Q} * {_Q} * 63) / 63.0::DOUBLE)"
+ANGLES = f"""WITH s AS (SELECT s_suppkey, s_suppkey % 20 AS a, (s_suppkey % 90)::DOUBLE AS f FROM supplier), t AS (SELECT s_suppkey, list_transform(range(64), lambda i: {_ANGLE}) AS t FROM s)
+SELECT s_suppkey, {q6("t[1]")} AS begins, {q6("t[32]")} AS halfway, {q6("list_sum(t)")} AS angles FROM t"""
+
+
 def remix(spark: SparkSession, sf_dir: str) -> DataFrame:
     beta = (F.col("vec_id") % 11).cast("double") / 10
     out = L.remixed(F.slice("x", 1, 32), F.slice("x", 33, 32), beta)
@@ -329,6 +341,7 @@ _ALL = (
     (reference_levels, REFERENCE),
     (smooth_steps, SMOOTH),
     (rotation_steps, ROTATION),
+    (rotation_angles, ANGLES),
     (remix, REMIX),
     (equalised_levels, EQUALISED),
     (matched_levels, MATCHED),
