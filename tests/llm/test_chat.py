@@ -111,3 +111,29 @@ def test_escapes_as_the_sql_counts_them(spark, texts):
     got = spark.createDataFrame(rows, "text string").select("text", F.length(chat.escaped(F.col("text")))).collect()
     for text, n in got:
         assert n == duckdb.execute(f"select {chat._sql_length('x')} from (select ?::varchar as x)", [text]).fetchone()[0]
+
+
+def test_every_reply_is_exploded_with_all_turns_before_it(spark):
+    rows = [(9, i, "assistant" if i % 2 else "user", f"turn {i} <s>") for i in range(301)]
+    piece = "<s>{}\nturn {} <\\s></s>".format
+    got = chat.expanded(spark.createDataFrame(rows, TALK)).orderBy("example").collect()
+    assert [r.text for r in got] == ["".join(piece(r, i) for _, i, r, _ in rows[:n]) for n in [*range(2, 301, 2), 301]]
+    assert [r.text[r.loss_start :][: r.loss_chars] for r in got[:-1]] == [f"turn {i} <\\s>" for i in range(1, 301, 2)]
+    assert got[-1].loss_chars is None and [r.last for r in got] == [False] * 150 + [True]
+
+
+BROKEN = {
+    "a context without its first turn": lambda out: out.withColumns({"text": F.when(F.col("example") == 1, F.expr("substring(text, 25)")).otherwise(F.col("text")), "loss_start": F.when(F.col("example") == 1, F.col("loss_start") - 24).otherwise(F.col("loss_start"))}),
+    "another first turn": lambda out: out.withColumn("text", F.when(F.col("example") == 0, F.replace("text", F.lit("brief"), F.lit("short"))).otherwise(F.col("text"))),
+    "a mask off by one": lambda out: out.withColumn("loss_start", F.col("loss_start") - 1),
+    "an example too few": lambda out: out.where("example <> 0"),
+}
+
+
+@pytest.mark.parametrize("how", BROKEN)
+def test_query_reads_the_expanded_examples(spark, tmp_path, monkeypatch, how):
+    spark.createDataFrame([r for r in ROWS if r[0] == 1], TALK).write.parquet(str(tmp_path / "conversations.parquet"))
+    full = chat.expanded
+    monkeypatch.setattr(chat, "expanded", lambda turns: BROKEN[how](full(turns)))
+    with pytest.raises(Exception, match="context is not the turns before"):
+        chat.op3_chat(spark, str(tmp_path)).collect()
