@@ -14,8 +14,14 @@ from earshot.llm import mixing, neardup, packing, quality, secrets
 from earshot.llm.common import checkpointed, release, table
 
 
+#: Bytes of rows that the JVM and a Python worker hand each other at once. Both hold such a batch whole, for each task.
+BATCH_BYTES = 4 << 20
+
+
 def _lean(spark: SparkSession) -> None:
-    """Python workers started from here on, which outlive stages, give freed memory back: Arrow takes it from the system, which keeps few arenas."""
+    """The session exchanges small batches with Python workers from here on. Those, which outlive stages, give freed memory back:
+    Arrow takes it from the system, which keeps few arenas."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     own = spark.sparkContext.environment
     own.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     own.setdefault("MALLOC_ARENA_MAX", "2")

@@ -11,11 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from earshot.columns import fresh_names
 from earshot.storage import checkpointed
 
-__all__ = ["checkpointed", "chunks", "crc32_of_id", "fresh_names", "hot_among", "hot_parts", "join_by_parts", "ragged", "release", "salted_join", "schema_with", "table", "with_columns", "with_parts"]
+__all__ = ["checkpointed", "chunks", "crc32_of_id", "fresh_names", "hot_among", "hot_parts", "join_by_parts", "local_table", "ragged", "release", "salted_join", "schema_with", "table", "with_columns", "with_parts"]
 
 #: Characters of text that a Python worker turns into arrays at once; a longer text is taken whole.
 CHUNK_CHARS = 1 << 19
@@ -29,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, columns: dict[str, pa.Array], kinds: StructType | None = None) -> DataFrame:
+    """A small table of the driver's, columns cast as ``kinds`` has them. It is read from Arrow: a list of rows would start Python workers of another kind, which stay."""
+    made = spark.createDataFrame(pa.table(columns))
+    return made.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in kinds}) if kinds else made
+
+
 def trim() -> None:
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -99,8 +106,8 @@ def hot_among(counts: DataFrame, key: str) -> DataFrame | None:
     hot = counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(MOST_HOT).select(key, "n").collect()
     if not hot:
         return None
-    kind = counts.schema[key].dataType.simpleString()
-    return counts.sparkSession.createDataFrame([(r[0], min(4096, -(-2 * r[1] // HOT_ROWS))) for r in hot], f"{key} {kind}, _parts int")
+    parts = [min(4096, -(-2 * r[1] // HOT_ROWS)) for r in hot]
+    return local_table(counts.sparkSession, {key: pa.array([r[0] for r in hot]), "_parts": pa.array(parts, pa.int32())}, counts.select(key).schema)
 
 
 def with_parts(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:

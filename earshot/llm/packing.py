@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from earshot.llm.common import checkpointed, chunks, fresh_names, table, trim
+from earshot.llm.common import checkpointed, chunks, fresh_names, local_table, table, trim
 
 CAPACITY = 2048
 UNIT = 16
@@ -315,7 +315,9 @@ def pack(rows: DataFrame, *, length_col: str = "length", order: tuple[str, ...]
         used += times * pattern
         base += times
     # bounded by classes and patterns, not by rows
-    slots_df = F.broadcast(spark.createDataFrame(list(slots.items()), f"{class_} int, {slots_} array<struct<first:long,end:long,each:long,seq:long>>"))
+    slot_kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "end", "each", "seq")]))
+    listed = [[dict(zip(("first", "end", "each", "seq"), x, strict=True)) for x in some] for some in slots.values()]
+    slots_df = F.broadcast(local_table(spark, {class_: pa.array(list(slots), pa.int32()), slots_: pa.array(listed, slot_kind)}))
     shards = max(64, int(demand.sum()) // shard_rows)
     dealt = rows.withColumn(shard, F.pmod(F.xxhash64(*order, F.lit(unit)), F.lit(shards)).cast("int"))
     counts = dealt.groupBy(class_, shard).agg(F.count(F.lit(1)).alias(count))

@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from earshot.llm import mixing, packing, queries
+from earshot.llm import common, mixing, packing, queries
 
 rng = np.random.default_rng(3)
 VOCABULARY = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(800)]
@@ -98,3 +99,29 @@ def test_queries_of_vectors_and_pages_take_edges(spark, tmp_path):
     assert sorted(str(r.vec_id) for r in found["op11_codes"]) == ["0", "0", "100", "20", "3", "None"]
     assert {(r.anchor_id, r.positive_id, r.negative_id) for r in found["op12_negatives"]} <= {(0, 100, 3), (100, 0, 3)}
     assert sorted((str(r.page_id), r.host, r.verdict) for r in found["op13_urls"]) == [("1", "a.com", "allow"), ("1", "a.com", "allow"), ("2", "", "allow"), ("3", "b.net", "block"), ("None", "", "allow")]
+
+
+def test_small_batches_are_handed_to_python_workers(spark, tables):
+    folder, _ = tables
+    corpus_pipeline.mixed(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    wide = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), F.lit(4000)).alias("t"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows * 4000])], names=["n"])
+
+    got = [r.n for r in wide.mapInArrow(size, "n long").collect()]
+    assert sum(got) == 36_000_000 and max(got) <= 2 * corpus_pipeline.BATCH_BYTES
+
+
+def test_small_tables_start_no_python_workers(spark):
+    counts = spark.createDataFrame([(b"a", 5000), (b"b", 3)], "k binary, n long")
+    for some in (counts, counts.select(F.col("k").cast("string").alias("k"), "n"), counts.select(F.length("k").alias("k"), "n")):
+        made = common.hot_among(some, "k")
+        assert made.schema["k"].dataType == some.schema["k"].dataType and made.schema["_parts"].dataType.simpleString() == "int"
+        assert [(r.k, r._parts) for r in made.collect()] == [(some.first().k, 10)]
+        assert "ExistingRDD" not in made._jdf.queryExecution().toString()
+    nulls = common.hot_among(counts.select(F.lit(None).cast("long").alias("k"), "n"), "k")
+    assert nulls.schema["k"].dataType.simpleString() == "bigint" and nulls.first().k is None
+    docs = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
+    assert "ExistingRDD[name" not in mixing.mix(docs)._jdf.queryExecution().toString()
